@@ -1,14 +1,62 @@
-"""Corpus pipeline: quality classifier, quality rules, exact dedup, near-dedup, packing. Each stage's rows are written and reread."""
+"""Corpus pipeline: quality classifier, quality rules, exact dedup, near-dedup, packing.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet and reread as the next stage's
+docs. The first four return the columns of documents; packing returns the pieces in their bins. The two
+classifiers learn from the labels and the documents of sf_dir, whatever docs holds, and reject only what they find bad.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-STAGES: list = []
+from sievework.llm import exact_dedup, near_dedup, packing, quality_classifier, quality_rules
+from sievework.llm.shared import written
+
+
+def _labelled(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    return spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet")
+
+
+def classify_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 5: what the compression classifier rejects goes."""
+    return quality_classifier.keep_good(docs, *_labelled(spark, sf_dir))
+
+
+def apply_quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 4: what the calibrated n-gram rules reject goes."""
+    return quality_rules.keep_good(docs, *_labelled(spark, sf_dir))
+
+
+def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 2: of equal texts the one with the least id stays."""
+    return exact_dedup.drop_copies(docs)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 6: of each group of near copies the one with the least id stays."""
+    return near_dedup.drop_near(docs)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 8: the kept documents in bins."""
+    return packing.pack_documents(docs)
+
+
+STAGES = [
+    ("quality_classifier", classify_quality),
+    ("quality_rules", apply_quality_rules),
+    ("exact_dedup", drop_exact_copies),
+    ("near_dedup", drop_near_copies),
+    ("packing", pack),
+]
 
-#: The classifiers, the sketches and first-fit decreasing have no SQL form.
+#: The classifiers, the sketches and first-fit decreasing have no SQL form; tests compare with brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """All stages over documents."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)
