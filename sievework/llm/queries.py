@@ -41,6 +41,12 @@ def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_near(_table(spark, sf_dir, "documents"))
 
 
+def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sievework.llm.bpe import encode_documents
+
+    return encode_documents(_table(spark, sf_dir, "documents"))
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from sievework.llm.packing import pack_documents
 
@@ -53,6 +59,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_quality_rules": op4_quality_rules,
     "op5_quality_classifier": op5_quality_classifier,
     "op6_near_dedup": op6_near_dedup,
+    "op7_bpe": op7_bpe,
     "op8_packing": op8_packing,
 }
 
