@@ -65,6 +65,12 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_lines(_table(spark, sf_dir, "documents"))
 
 
+def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sievework.llm.url_filter import filter_urls
+
+    return filter_urls(_table(spark, sf_dir, "pages"), _table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_lm_scoring": op1_lm_scoring,
     "op2_exact_dedup": op2_exact_dedup,
@@ -75,6 +81,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_bpe": op7_bpe,
     "op8_packing": op8_packing,
     "op9_line_dedup": op9_line_dedup,
+    "op10_url_filter": op10_url_filter,
 }
 
 SQL: dict[str, str] = {
