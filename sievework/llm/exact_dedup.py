@@ -26,6 +26,12 @@ from sievework.llm import textvec
 from sievework.llm.shared import fresh, open_fs
 
 
+def _spread(h: int) -> int:
+    """Mixes a hash, so that its lowest bits, which the directory takes, differ wherever any bit does."""
+    h = ((h ^ (h >> 32)) * 0x9E3779B97F4A7C15) & 0xFFFFFFFFFFFFFFFF
+    return h ^ (h >> 29)
+
+
 class ExtendibleIndex:
     """64-bit hashes to chains of entry numbers; buckets split, and the directory doubles, as they fill."""
 
@@ -40,7 +46,7 @@ class ExtendibleIndex:
 
     def chain(self, h: int) -> Iterator[int]:
         """The entries with this hash."""
-        entry = self.buckets[self.directory[h & ((1 << self.depth) - 1)]].get(h, -1)
+        entry = self.buckets[self.directory[_spread(h) & ((1 << self.depth) - 1)]].get(h, -1)
         while entry >= 0:
             yield entry
             entry = self.next[entry]
@@ -50,7 +56,7 @@ class ExtendibleIndex:
         entry = len(self.next)
         self.keys.append(key)
         while True:
-            at = self.directory[h & ((1 << self.depth) - 1)]
+            at = self.directory[_spread(h) & ((1 << self.depth) - 1)]
             bucket = self.buckets[at]
             if h in bucket or len(bucket) < self.bucket_size:
                 self.next.append(bucket.get(h, -1))
@@ -64,11 +70,11 @@ class ExtendibleIndex:
             self.directory += self.directory
             self.depth += 1
         old, bit, new = self.buckets[at], 1 << depth, len(self.buckets)
-        self.buckets[at] = {h: e for h, e in old.items() if not h & bit}
-        self.buckets.append({h: e for h, e in old.items() if h & bit})
+        self.buckets[at] = {h: e for h, e in old.items() if not _spread(h) & bit}
+        self.buckets.append({h: e for h, e in old.items() if _spread(h) & bit})
         self.local[at] = depth + 1
         self.local.append(depth + 1)
-        start = next(iter(old)) & (bit - 1)
+        start = _spread(next(iter(old))) & (bit - 1)
         for slot in range(start | bit, len(self.directory), bit << 1):
             self.directory[slot] = new
 
