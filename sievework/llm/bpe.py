@@ -72,8 +72,11 @@ def read_merges(path: str) -> tuple[list[bytes], list[int], list[tuple[int, int]
     return tokens, ids, parts
 
 
-def compile_merges(parts: list[tuple[int, int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(state class of each token, symbol class of each token, bits [state class, symbol class] of the allowed arcs)."""
+def compile_merges(parts: list[tuple[int, int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(state class of each token, symbol class of each token, bits [state class, symbol class] of the allowed arcs, reached tokens).
+
+    A merge whose parts can't follow one another when its turn comes makes nothing: its token is never reached.
+    """
     n = 256 + len(parts)
     left = np.concatenate([np.full(256, -1), np.array([u for u, _ in parts], np.int64)]).astype(np.int64)
     lost: dict[int, list[tuple[int, int]]] = {}  # by u, the (v, token made) of each merge
@@ -115,10 +118,14 @@ def compile_merges(parts: list[tuple[int, int]]) -> tuple[np.ndarray, np.ndarray
                 when[list(late)] = list(late.values())
                 arc[x[x >= when[u]]] = False
         rows[s] = np.packbits(arc)
+    reached = np.ones(n, bool)
+    for m, (u, v) in enumerate(parts, 256):
+        reached[m] = reached[u] and reached[v] and bool((rows[u, v >> 3] >> (7 - (v & 7))) & 1)
+    rows &= np.packbits(reached)
     for u, made in lost.items():  # what was lost after both were there
         for v, _ in made:
             rows[u, v >> 3] &= np.uint8(0xFF ^ (0x80 >> (v & 7)))
-    return _classes(rows, n)
+    return *_classes(rows, n), reached
 
 
 def _classes(rows: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -147,12 +154,12 @@ def _classes(rows: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarr
     return state.astype(np.int32), symbol.astype(np.int32), out
 
 
-def compile_trie(tokens: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def compile_trie(tokens: list[bytes], reached: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Sorted keys node * 256 + byte, the node that each leads to, and each node's token or -1."""
     nodes: dict[tuple[int, int], int] = {}
     token = [-1]
-    for t, raw in enumerate(tokens):
-        at = 0
+    for t in np.flatnonzero(reached).tolist():
+        raw, at = tokens[t], 0
         for b in raw:
             step = nodes.get((at, b))
             if step is None:
@@ -421,8 +428,8 @@ def encode_texts(automaton: Automaton, data: np.ndarray, offs: np.ndarray) -> It
 def compile_vocabulary(path: str = VOCABULARY) -> dict[str, np.ndarray]:
     """All tables of an automaton from a vocabulary file with merges."""
     tokens, ids, parts = read_merges(path)
-    state, symbol, arcs = compile_merges(parts)
-    keys, to, token = compile_trie(tokens)
+    state, symbol, arcs, reached = compile_merges(parts)
+    keys, to, token = compile_trie(tokens, reached)
     at = np.concatenate([[0], np.cumsum([len(t) for t in tokens])]).astype(np.int64)
     label = np.frombuffer(b"".join(tokens), np.uint8)
     return {"state": state, "symbol": symbol, "arcs": arcs, "keys": keys, "to": to, "token": token, "ids": np.array(ids, np.int64), "label_bytes": label, "label_at": at}
