@@ -218,7 +218,8 @@ def _roots(nodes: DataFrame) -> DataFrame:
     keys = nodes.select("__node", "__text").mapInArrow(_keys, "node long, key long")
     linked = keys.select("node", F.min("node").over(Window.partitionBy("key")).alias("least")).where("node <> least").distinct()
     edges = written(linked.toDF("u", "v"), "near-links")
-    return written(connected(edges).toDF("__node", "__root"), "near-roots")
+    # Joined by shuffle at every size: the roots grow with the documents, so no broadcast of them would last.
+    return written(connected(edges).toDF("__node", "__root"), "near-roots").hint("merge")
 
 
 def _sorted(rows: DataFrame) -> DataFrame:
