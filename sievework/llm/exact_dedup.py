@@ -147,9 +147,10 @@ def _owned(docs: DataFrame, id_col: str, text_col: str, rows_per_owner: int, who
     owner = F.when(F.col("__text").isNull(), F.lit(-1)).otherwise(F.shiftrightunsigned(h, 33) * owners / F.lit(1 << 31)).cast("long")
     row = F.struct("*") if whole else F.lit(None).cast("string")
     packed = docs.select(row.alias("__row"), F.col(id_col).cast("long").alias("__id"), F.col(text_col).cast("string").alias("__text"))
-    # Null texts need no owner; they spread by id.
-    spread = packed.withColumns({"__hash": h, "__owner": owner}).repartition(owners, "__owner", F.when(F.col("__owner") < 0, F.col("__id")))
-    return spread.sortWithinPartitions("__owner", F.col("__id").asc_nulls_last()), fresh(docs.sparkSession, "exact-index")
+    # Null texts need no owner; they spread by id. An owner is a partition.
+    spread = packed.withColumns({"__hash": h, "__owner": owner})
+    place = F.when(F.col("__owner") < 0, F.pmod(F.xxhash64("__id"), F.lit(owners))).otherwise(F.col("__owner")).cast("int")
+    return spread.repartitionById(owners, place).sortWithinPartitions("__owner", F.col("__id").asc_nulls_last()), fresh(docs.sparkSession, "exact-index")
 
 
 def find_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", rows_per_owner: int = 20_000, bucket_size: int = 64) -> DataFrame:

@@ -4,12 +4,15 @@ A line takes part if it has `min_chars` characters or more. An occurrence is dro
 (doc_id, line), has a line within the edit distance bound, which is 1: equal lines are at distance 0, and the
 earlier one counts whether or not it is dropped itself. So the first of each distinct line stays unless a line one edit away begins earlier.
 
-Steps. Equal lines are collapsed to their first place (a hash of 128 bits stands for the line). A necessary condition thins them: two
-lines one edit apart agree in their first or in their last half, so a line whose half no other distinct line has can't have
-a partner. Those left emit every variant with one character deleted as a hashed key, with its place: equal lengths meet
-at equal (variant, place), which is one substitution; a line one longer meets the shorter at the shorter line itself, which
-is one deletion. Such groups are stars around the variant, so the least first place of the group is each member's candidate and no group is
-multiplied out. The candidate's text is then compared with the line's, and the distance verified.
+Steps. One pass over the texts gives each line's place, its hash of 128 bits, which stands for it from here on, and the keys of its
+halves. Equal lines are collapsed to their first place. A necessary condition thins them: two lines one edit
+apart agree in their first or in their last half (the halves of the longer one), so a line whose half no other distinct line of a
+fitting length has can't have a partner. Those left, by the lengths of the partners they may have, emit every variant with one character
+deleted as a hashed key: equal lengths meet at equal (variant, place), which is one substitution; a line one longer meets
+the shorter at the shorter line itself, which is one deletion. Such groups are stars around the variant, so the least first place of the group is
+each member's candidate and no group is multiplied out. Then the texts of the line and its candidate are compared, and the
+distance verified. Texts are moved only of lines left by the condition: their hashes, up to `KNOWN` of them, are sent to the
+scan; beyond that the texts of all lines are joined with them by shuffle.
 
 Defined results: a null text has no lines. An empty text has one empty line. Empty and short lines are kept always. A null id counts as
 the greatest. Rows that repeat are copies: the second row's lines are dropped. Lines end with \\n only, and are compared
@@ -24,21 +27,105 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sievework.llm import textvec
 from sievework.llm.shared import written
 
-_INVERSE, _BASE = textvec._INVERSE, textvec._BASE
+_BASE, _INVERSE = textvec._BASE, textvec._INVERSE
+_BASE2 = 0xD6E8FEB86659FD93
+_INVERSE2 = pow(_BASE2, -1, 1 << 64)
+#: Hashes (8 bytes each) that are sent to the scan at most.
+KNOWN = 4_000_000
+OCCURRENCE = "doc_id long, line_no int, h long, g long, k0 long, k1 long, k2 long, k3 long"
+
+
+class _Lines:
+    """The lines of a run of texts: text, number and byte range of each."""
+
+    def __init__(self, data: np.ndarray, offs: np.ndarray, null: np.ndarray) -> None:
+        self.data = data
+        breaks = np.flatnonzero(data == 10)
+        doc = np.concatenate([np.arange(len(null)), np.searchsorted(offs, breaks, "right") - 1])
+        start = np.concatenate([offs[:-1], breaks + 1])
+        order = np.lexsort((start, doc))
+        doc, start = doc[order], start[order]
+        last = np.append(doc[1:] != doc[:-1], True)
+        end = np.where(last, offs[doc + 1], np.append(start[1:], 0) - 1)
+        number = np.arange(len(doc)) - np.searchsorted(doc, doc)
+        stay = ~null[doc]
+        self.doc, self.start, self.end, self.number = doc[stay], start[stay], end[stay], number[stay]
+        lead = (data & 0xC0) != 0x80
+        self.signs = np.concatenate([[0], np.cumsum(lead)])
+        self.at = np.append(np.flatnonzero(lead), len(data))
+        self.size = self.signs[self.end] - self.signs[self.start]  # in characters
+        n = len(data)
+        with np.errstate(over="ignore"):
+            wide = data.astype(np.uint64) + np.uint64(1)
+            self.total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(wide * textvec.powers(_BASE, n + 1)[:n])])
+            self.total2 = np.concatenate([np.zeros(1, np.uint64), np.cumsum(wide * textvec.powers(_BASE2, n + 1)[:n])])
+
+    def hash(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            return textvec.mix((self.total[end] - self.total[start]) * textvec.powers(_INVERSE, len(self.data) + 1)[start] + (end - start).astype(np.uint64))
+
+    def second(self) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            return textvec.mix((self.total2[self.end] - self.total2[self.start]) * textvec.powers(_INVERSE2, len(self.data) + 1)[self.start])
+
+    def halves(self) -> list[np.ndarray]:
+        """Keys of the first and last half for a longer line of its own length, then for one of a character more."""
+        keys, base = [], self.signs[self.start]
+        with np.errstate(over="ignore"):
+            for more in (0, 1):
+                m = self.size + more
+                half, rest = m // 2, m - m // 2 - 1
+                cut = np.where(half < self.size, self.at[base + np.minimum(half, self.size)], self.end)
+                tail = np.where(rest > 0, self.at[base + self.size - np.maximum(rest, 0)], self.end)
+                tag = m.astype(np.uint64) * np.uint64(2)
+                keys.append(textvec.mix(self.hash(self.start, np.minimum(cut, self.end)) * np.uint64(7) + tag))
+                keys.append(textvec.mix(self.hash(tail, self.end) * np.uint64(7) + tag + np.uint64(1)))
+        return keys
+
+
+def _each(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, _Lines]]:
+    for batch in batches:
+        data, offs = textvec.utf8(batch.column(1))
+        null = batch.column(1).is_null().to_numpy(zero_copy_only=False)
+        for i, j in textvec.pieces(offs):
+            yield batch.column(0).slice(i, j - i), _Lines(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i], null[i:j])
+
+
+def _occurrences(docs: DataFrame, min_chars: int) -> DataFrame:
+    """Every line's place, its hash (null where it takes no part) and the keys of its halves."""
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for ids, lines in _each(batches):
+            out = lines.size < min_chars
+            hashes = [lines.hash(lines.start, lines.end), lines.second(), *lines.halves()]
+            columns = [ids.take(pa.array(lines.doc)), pa.array(lines.number, pa.int32()), *(pa.array(x.view(np.int64), mask=out) for x in hashes)]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "line_no", "h", "g", "k0", "k1", "k2", "k3"])
 
+    return written(docs.mapInArrow(scan, OCCURRENCE), "line-places")
 
-def _lines(docs: DataFrame, id_col: str, text_col: str, min_chars: int) -> DataFrame:
-    text = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("text is not null")
-    cut = text.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    return cut.withColumn("takes_part", F.length("line") >= min_chars)
 
+def _texts(docs: DataFrame, min_chars: int, known: np.ndarray | None) -> DataFrame:
+    """(h, g, place, line) of the lines whose hash is known, or of all."""
+    sent = None if known is None else docs.sparkSession.sparkContext.broadcast(known)
 
-def _key(line: Column) -> list[Column]:
-    return [F.xxhash64(line).alias("h"), F.xxhash64(F.lit(17), F.reverse(line)).alias("g")]
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for ids, lines in _each(batches):
+            h = lines.hash(lines.start, lines.end).view(np.int64)
+            stay = lines.size >= min_chars
+            if sent is not None:
+                at = np.minimum(np.searchsorted(sent.value, h), max(0, len(sent.value) - 1))
+                stay &= sent.value[at] == h if len(sent.value) else False
+            pick = np.flatnonzero(stay)
+            text = [lines.data[a:b].tobytes().decode("utf-8") for a, b in zip(lines.start[pick], lines.end[pick])]
+            columns = [ids.take(pa.array(lines.doc[pick])), pa.array(lines.number[pick], pa.int32()), pa.array(h[pick]), pa.array(lines.second()[pick].view(np.int64)), pa.array(text, pa.string())]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "line_no", "h", "g", "line"])
+
+    return docs.mapInArrow(scan, "doc_id long, line_no int, h long, g long, line string").select("h", "g", _place().alias("place"), "line")
 
 
 def _place() -> Column:
@@ -46,26 +133,15 @@ def _place() -> Column:
     return F.struct(F.col("doc_id").isNull().alias("no"), F.col("doc_id").alias("d"), F.col("line_no").alias("l"))
 
 
-def _halves(line: Column) -> Column:
-    """Keys of the first and the last half. A pair's halves are those of its longer line, so a line has keys for its own length and one more."""
-    n = F.length(line)
-    keys = []
-    for more in (0, 1):
-        half = F.floor((n + more) / 2).cast("int")
-        keys.append(F.xxhash64(F.lit("a"), n + more, F.substring(line, F.lit(1), half)))
-        rest = (n + more - half - 1).cast("int")
-        keys.append(F.xxhash64(F.lit("z"), n + more, F.when(rest > 0, F.substring(line, n - rest + 1, rest)).otherwise("")))
-    return F.array(*keys)
-
-
 def _variants(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(h, g, key): for every line its own key and that of each variant with one character deleted, with and without the place.
+    """(place, key, kind): of lines that a longer line may become (kind 0), their own key; of lines that may become a shorter one
+    (kind 1), that of each variant with one character deleted; of lines with partners of their length (kind 2), that of each variant and its place.
 
     Characters are code points. The hash of a line without character i is that of what stands before it and of what follows moved by one.
     """
     for batch in batches:
         texts = batch.column("line").to_pylist()
-        hs, gs = batch.column("h").to_numpy(zero_copy_only=False), batch.column("g").to_numpy(zero_copy_only=False)
+        may = [batch.column(c).to_numpy(zero_copy_only=False).astype(bool) for c in ("shorter", "longer", "equal")]
         i = 0
         while i < len(texts):
             j, held = i, 0
@@ -73,61 +149,67 @@ def _variants(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 held += len(texts[j])
                 j += 1
             n = np.array([len(t) for t in texts[i:j]])
-            code = np.frombuffer("".join(texts[i:j]).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64) + np.uint64(1)
+            code = np.frombuffer("".join(texts[i:j]).encode("utf-32-le"), np.uint32).astype(np.uint64) + np.uint64(1)
             begin = np.cumsum(n) - n
             line = np.repeat(np.arange(j - i), n)
             at = np.arange(len(code)) - begin[line]
+            again = np.append(False, code[1:] == code[:-1]) & (at > 0)  # deleting either of two equal neighbours is the same
             with np.errstate(over="ignore"):
-                term = code * textvec.powers(_BASE, int(n.max()) + 1)[at]
+                term = code * textvec.powers(_BASE, int(n.max(initial=0)) + 1)[at]
                 total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(term)])
-                before = total[:-1] - total[begin[line]]
-                after = total[begin[line] + n[line]] - total[1:]
-                gone = before + after * np.uint64(_INVERSE)
-                whole = total[begin + n] - total[begin]
-                size = n.astype(np.uint64)
-                # A variant meets the line that it is (distance 1 by deletion), or a variant at the same place (substitution).
+                gone = total[:-1] - total[begin[line]] + (total[begin[line] + n[line]] - total[1:]) * np.uint64(_INVERSE)
+                whole, size = total[begin + n] - total[begin], n.astype(np.uint64)
                 own = textvec.mix(whole * np.uint64(3) + textvec.mix(size))
                 deleted = textvec.mix(gone * np.uint64(3) + textvec.mix(size[line] - np.uint64(1)))
                 placed = textvec.mix(gone * np.uint64(5) + textvec.mix(at.astype(np.uint64) * np.uint64(2654435761) + size[line]) + np.uint64(1))
-            line_of = np.concatenate([np.arange(j - i), line, line])
-            kind = np.concatenate([np.zeros(j - i, np.int8), np.ones(len(line), np.int8), np.full(len(line), 2, np.int8)])
-            keys = np.concatenate([own, deleted, placed]).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(hs[i:j][line_of]), pa.array(gs[i:j][line_of]), pa.array(keys), pa.array(kind)], names=["h", "g", "key", "kind"])
+            short, long, same = (m[i:j] for m in may)
+            picks = [np.flatnonzero(short), np.flatnonzero(long[line] & ~again), np.flatnonzero(same[line])]
+            line_of = np.concatenate([picks[0], line[picks[1]], line[picks[2]]])
+            keys = np.concatenate([own[picks[0]], deleted[picks[1]], placed[picks[2]]]).view(np.int64)
+            kind = np.repeat(np.arange(3, dtype=np.int8), [len(p) for p in picks])
+            places = batch.column("place").slice(i, j - i).take(pa.array(line_of))
+            yield pa.RecordBatch.from_arrays([places, pa.array(keys), pa.array(kind)], names=["place", "key", "kind"])
             i = j
 
 
+def _partners(distinct: DataFrame) -> DataFrame:
+    """(h, shorter, longer, equal): the lines that share a half with a line of a fitting length; flags say as which of a pair."""
+    halved = distinct.select("h", F.explode(F.array(*(F.struct(F.col(f"k{k}").alias("half"), F.lit(k > 1).alias("more")) for k in range(4)))).alias("x")).select("h", "x.half", "x.more")
+    by = Window.partitionBy("half")
+    least, most = (f(F.when(~F.col("more"), F.col("h"))).over(by) for f in (F.min, F.max))
+    seen = halved.select("h", "more", (least != most).alias("equal"), least.isNotNull().alias("full"), F.max("more").over(by).alias("less"))
+    flags = seen.select("h", (F.col("more") & F.col("full")).alias("shorter"), (~F.col("more") & F.col("less")).alias("longer"), (~F.col("more") & F.col("equal")).alias("equal"))
+    return flags.where("shorter or longer or equal").groupBy("h").agg(*(F.max(c).alias(c) for c in ("shorter", "longer", "equal")))
+
+
 def find_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 12) -> DataFrame:
     """(doc_id, line_no, first_doc_id, first_line_no, keep) for every line: the place of the earliest line within the bound, its own if it is that."""
-    lines = _lines(docs, id_col, text_col, min_chars)
-    part = lines.where("takes_part")
-    distinct = written(part.select(*_key(F.col("line")), _place().alias("place"), "line").groupBy("h", "g").agg(F.min("place").alias("place"), F.first(_halves(F.col("line"))).alias("halves")), "line-distinct")
-    # Lines that share a half with another distinct line.
-    halved = distinct.select("h", F.explode("halves").alias("half"))
-    by = Window.partitionBy("half")
-    shared = halved.select("h", F.min("h").over(by).alias("a"), F.max("h").over(by).alias("b")).where("a <> b").select("h").distinct()
-    left = written(distinct.join(shared, "h", "left_semi").select("h", "g", "place"), "line-candidates")
-    text = part.select(*_key(F.col("line")), _place().alias("place"), "line").join(left, ["h", "g", "place"], "left_semi").dropDuplicates(["h", "g"])
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    places = _occurrences(rows, min_chars)
+    part = places.where("h is not null")
+    collapsed = part.groupBy("h", "g").agg(F.min(_place()).alias("place"), *(F.first(f"k{k}").alias(f"k{k}") for k in range(4)))
+    distinct = written(collapsed, "line-distinct")
+    left = written(distinct.select("h", "g", "place").join(_partners(distinct), "h"), "line-candidates")
+    known = None
+    if left.count() <= KNOWN:
+        known = np.unique(left.select("h").toPandas()["h"].to_numpy(np.int64))
+    text = _texts(rows, min_chars, known).join(left, ["h", "g", "place"]).dropDuplicates(["h", "g"])
     text = written(text, "line-left")
-    keyed = text.mapInArrow(_variants, "h long, g long, key long, kind tinyint").join(left, ["h", "g"])
-    # kind 0 meets kind 1, and kind 2 meets kind 2: the candidate is the earliest on the other side.
+    keyed = text.mapInArrow(_variants, T.StructType([text.schema["place"], T.StructField("key", T.LongType()), T.StructField("kind", T.ByteType())]))
+    # Kind 0 meets kind 1, and kind 2 meets kind 2: the candidate is the earliest on the other side.
     group = Window.partitionBy("key")
     whole, deleted, placed = (F.min(F.when(F.col("kind") == k, F.col("place"))).over(group) for k in range(3))
-    offered = keyed.select("h", "g", "place", F.when(F.col("kind") == 0, deleted).when(F.col("kind") == 1, whole).otherwise(placed).alias("other")).where("other < place")
-    pairs = offered.groupBy("h", "g").agg(F.min("other").alias("other"))
-    return _verified(lines, distinct, text, pairs)
-
-
-def _verified(lines: DataFrame, distinct: DataFrame, text: DataFrame, pairs: DataFrame) -> DataFrame:
-    mine = text.select("h", "g", "line")
+    offered = keyed.select("place", F.when(F.col("kind") == 0, deleted).when(F.col("kind") == 1, whole).otherwise(placed).alias("other")).where("other < place")
+    pairs = offered.groupBy("place").agg(F.collect_set("other").alias("others")).select("place", F.explode("others").alias("other"))
     theirs = text.select(F.col("place").alias("other"), F.col("line").alias("other_line"))
-    both = pairs.join(mine, ["h", "g"]).join(theirs, "other")
-    close = both.where(F.levenshtein("line", "other_line", 1) >= 0).select("h", "g", "other")
+    close = pairs.join(text.select("h", "g", "place", "line"), "place").join(theirs, "other").where(F.levenshtein("line", "other_line", 1) >= 0)
+    close = close.groupBy("h", "g").agg(F.min("other").alias("other"))
     fate = distinct.select("h", "g", "place").join(close, ["h", "g"], "left").select("h", "g", F.least("place", "other").alias("first"))
-    all_ = lines.select("doc_id", "line_no", "takes_part", *_key(F.col("line")))
-    joined = all_.where("takes_part").join(fate, ["h", "g"]).select("h", "g", "doc_id", "line_no", F.col("first.d").alias("first_doc_id"), F.col("first.l").alias("first_line_no"))
-    short = all_.where("not takes_part").select("doc_id", "line_no", F.col("doc_id").alias("first_doc_id"), F.col("line_no").alias("first_line_no"))
-    # Rows that repeat have the same places; of them the first in any order stays.
-    own = (F.col("doc_id").eqNullSafe(F.col("first_doc_id"))) & (F.col("line_no") == F.col("first_line_no"))
-    again = F.row_number().over(Window.partitionBy("h", "g", "doc_id", "line_no").orderBy("line_no")) == 1
-    kept = joined.select("doc_id", "line_no", "first_doc_id", "first_line_no", (own & again).alias("keep"))
-    return kept.union(short.withColumn("keep", F.lit(True)))
+    # The lines' places are joined with the fates by shuffle at every size, for both grow with the lines.
+    joined = part.select("doc_id", "line_no", "h", "g").join(fate.hint("merge"), ["h", "g"])
+    own = F.col("doc_id").eqNullSafe(F.col("first.d")) & (F.col("line_no") == F.col("first.l"))
+    # Rows that repeat have the same places; of them one stays.
+    once = F.row_number().over(Window.partitionBy("h", "g", "doc_id", "line_no").orderBy("line_no")) == 1
+    kept = joined.select("doc_id", "line_no", F.col("first.d").alias("first_doc_id"), F.col("first.l").alias("first_line_no"), (own & once).alias("keep"))
+    short = places.where("h is null").select("doc_id", "line_no", F.col("doc_id").alias("first_doc_id"), F.col("line_no").alias("first_line_no"), F.lit(True).alias("keep"))
+    return kept.union(short)

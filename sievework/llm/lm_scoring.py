@@ -28,52 +28,50 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sievework.llm import textvec
-from sievework.llm.shared import fresh, open_fs, remove, written
+from sievework.llm.shared import fresh, open_fs, release, remove, written
 
 BLOCK = "block long, ids array<long>, lens binary, tokens binary, vocab binary, counts binary"
 SLICE = "block long, part int, at binary, body binary"
 COUNTS = "part int, block long, keys binary, at binary, body binary"
 #: Totals of all blocks travel as parts below 0, so many that none gathers more than its share.
 TOTAL_PARTS = 16
+#: Tokens that the recursions take at once.
+BATCH = 500_000
 
 
 def _encode(batches: Iterator[pa.RecordBatch], tokens_per_block: int) -> Iterator[pa.RecordBatch]:
+    """Blocks of consecutive documents. Each piece of text has its own small vocabulary first; a block's is their union."""
     from pyspark import TaskContext
 
-    part, serial = TaskContext.get().partitionId(), 0
+    part, serial, held = TaskContext.get().partitionId(), 0, 0
     ids: list = []
-    hashes: list[np.ndarray] = []
     lens: list[np.ndarray] = []
+    chunks: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
 
     def block() -> pa.RecordBatch:
         nonlocal serial
-        words = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
-        vocab, tokens, counts = np.unique(words, return_inverse=True, return_counts=True)
-        row = [
-            [(part << 32) + serial],
-            [ids],
-            [np.concatenate(lens).astype(np.int32).tobytes()],
-            [tokens.astype(np.int32).tobytes()],
-            [vocab.tobytes()],
-            [counts.astype(np.int64).tobytes()],
-        ]
+        vocab, where = np.unique(np.concatenate([v for v, _, _ in chunks]), return_inverse=True)
+        cut = np.cumsum([len(v) for v, _, _ in chunks])[:-1]
+        tokens = np.concatenate([at.astype(np.int32)[t] for at, (_, t, _) in zip(np.split(where, cut), chunks)])
+        counts = np.bincount(where, np.concatenate([n for _, _, n in chunks]), len(vocab))
+        row = [(part << 32) + serial, ids, np.concatenate(lens).astype(np.int32).tobytes(), tokens.tobytes(), vocab.tobytes(), counts.astype(np.int32).tobytes()]
         serial += 1
         types = [pa.int64(), pa.list_(pa.int64())] + [pa.binary()] * 4
-        return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(row, types)], names=["block", "ids", "lens", "tokens", "vocab", "counts"])
+        return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, types)], names=["block", "ids", "lens", "tokens", "vocab", "counts"])
 
-    held = 0
     for batch in batches:
         data, offs = textvec.utf8(batch.column(1))
         key = batch.column(0).to_pylist()
         for i, j in textvec.pieces(offs):
             word, first = textvec.words(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i])
+            if ids and held + len(word) > tokens_per_block:
+                yield block()
+                ids, lens, chunks, held = [], [], [], 0
+            vocab, tokens, n = np.unique(word, return_inverse=True, return_counts=True)
+            chunks.append((vocab, tokens.astype(np.int32), n))
             ids += key[i:j]
-            hashes.append(word)
             lens.append(np.diff(first))
             held += len(word)
-            if held >= tokens_per_block:
-                yield block()
-                ids, hashes, lens, held = [], [], [], 0
     if ids:
         yield block()
 
@@ -103,59 +101,70 @@ def _layout(tokens: np.ndarray, lens: np.ndarray, pad: int) -> tuple[np.ndarray,
     return grid, begins, lane, step
 
 
+def _gathered(emit: np.ndarray, grid: np.ndarray, kind: type) -> np.ndarray:
+    """Emissions at each place of the grid as (steps, states, lanes), ones where it is empty: operations then run along the lanes."""
+    table = np.concatenate([emit, np.ones((1, emit.shape[1]))]).astype(kind)
+    return np.ascontiguousarray(np.take(table, grid, axis=0).transpose(0, 2, 1))
+
+
 def forward(tokens: np.ndarray, lens: np.ndarray, emit: np.ndarray, pi: np.ndarray, move: np.ndarray, kind: type = np.float64) -> np.ndarray:
     """Log-likelihood of each sequence (all of one token or more) by the scaled forward recursion."""
     grid, begins, lane, step = _layout(tokens, lens, len(emit))
-    emit = np.concatenate([emit, np.ones((1, emit.shape[1]))]).astype(kind)
-    pi, move, one = pi.astype(kind), move.astype(kind), np.ones(emit.shape[1], kind)
-    alpha = np.full((grid.shape[1], len(pi)), 1 / len(pi), kind)
-    scale = np.empty(grid.shape, kind)
+    e, start, onward, one = _gathered(emit, grid, kind), pi.astype(kind)[:, None], np.ascontiguousarray(move.T, kind), np.ones(len(pi), kind)
+    alpha, scale = np.full((len(pi), grid.shape[1]), 1 / len(pi), kind), np.empty(grid.shape, kind)
     for t in range(len(grid)):
-        alpha = alpha @ move
-        alpha[begins[t]] = pi
-        alpha *= emit[grid[t]]
-        scale[t] = alpha @ one
-        alpha /= scale[t][:, None]
+        alpha = onward @ alpha
+        if len(begins[t]):
+            alpha[:, begins[t]] = start
+        alpha *= e[t]
+        np.matmul(one, alpha, out=scale[t])
+        alpha /= scale[t]
     running = np.concatenate([np.zeros((1, grid.shape[1])), np.cumsum(np.log(scale, dtype=np.float64), axis=0)])
     return running[step + lens, lane] - running[step, lane]
 
 
 def expected(tokens: np.ndarray, lens: np.ndarray, emit: np.ndarray, pi: np.ndarray, move: np.ndarray, kind: type = np.float32) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
     """Baum-Welch counts over sequences of one token or more: emissions, transitions, beginnings; and the log-likelihood."""
-    k, grid, begins, *_ = len(pi), *_layout(tokens, lens, len(emit))
-    pad = len(emit)
-    e = np.concatenate([emit, np.ones((1, k))]).astype(kind)
-    pi, move, one = pi.astype(kind), move.astype(kind), np.ones(k, kind)
+    k, pad = len(pi), len(emit)
+    grid, begins, lane, step = _layout(tokens, lens, pad)
     steps, width = grid.shape
-    alpha, scale = np.empty((steps, width, k), kind), np.empty((steps, width), kind)
-    now = np.full((width, k), 1 / k, kind)
+    e, first, one = _gathered(emit, grid, kind), pi.astype(kind)[:, None], np.ones(k, kind)
+    back, onward = np.ascontiguousarray(move, kind), np.ascontiguousarray(move.T, kind)
+    alpha, scale = np.empty((steps, k, width), kind), np.empty((steps, width), kind)
+    now = np.full((k, width), 1 / k, kind)
     for t in range(steps):
-        now = now @ move
-        now[begins[t]] = pi
-        now *= e[grid[t]]
-        scale[t] = now @ one
-        now /= scale[t][:, None]
-        alpha[t] = now
-    real = grid != pad
-    loglik = float(np.log(scale[real], dtype=np.float64).sum())
+        now = np.matmul(onward, now, out=alpha[t])
+        if len(begins[t]):
+            now[:, begins[t]] = first
+        now *= e[t]
+        np.matmul(one, now, out=scale[t])
+        now /= scale[t]
+    used = np.bincount(lane, lens, width).astype(np.int64)  # the lanes' lengths; beyond them all is empty
+    live = (np.arange(steps)[:, None] < used).astype(kind)
+    loglik = float((np.log(scale, dtype=np.float64) * live).sum())
+    np.divide(live, scale, out=scale)
+    stops: dict[int, np.ndarray] = {int(n): np.flatnonzero(used == n) for n in np.unique(used)}
     pairs, start = np.zeros((k, k)), np.zeros(k)
-    beta = np.ones((width, k), kind)
-    back = np.ascontiguousarray(move.T)
+    beta = np.ones((k, width), kind)
     for t in range(steps - 1, -1, -1):
         if t + 1 < steps:
-            ahead = e[grid[t + 1]] * beta
-            ahead /= scale[t + 1][:, None]
-            ahead[~real[t + 1]] = 0
-            ahead[begins[t + 1]] = 0
-            pairs += alpha[t].T @ ahead
-            beta = ahead @ back
-            beta[begins[t + 1]] = 1
-            beta[~real[t + 1]] = 1
+            ahead = e[t + 1]
+            ahead *= beta
+            ahead *= scale[t + 1]
+            fresh_ = begins[t + 1]
+            if len(fresh_):
+                ahead[:, fresh_] = 0
+            pairs += alpha[t] @ ahead.T
+            beta = back @ ahead
+            if len(fresh_):
+                beta[:, fresh_] = 1
+            if t + 1 in stops:
+                beta[:, stops[t + 1]] = 1
         alpha[t] *= beta
-        start += alpha[t][begins[t]].sum(0)
+        if len(begins[t]):
+            start += alpha[t][:, begins[t]].sum(1)
     flat = grid.ravel()
-    gamma = alpha.reshape(-1, k)
-    emits = np.stack([np.bincount(flat, gamma[:, j], pad + 1)[:pad] for j in range(k)], axis=1)
+    emits = np.stack([np.bincount(flat, alpha[:, j, :].ravel(), pad + 1)[:pad] for j in range(k)], axis=1)
     return emits, pairs * move, start, loglik
 
 
@@ -172,14 +181,16 @@ def _part_of(keys: np.ndarray, parts: int) -> np.ndarray:
     return ((keys >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
 
 
-def _counts_rows(block: int, keys: np.ndarray, values: np.ndarray, parts: int, total: np.ndarray) -> pa.RecordBatch:
-    at = np.searchsorted(_part_of(keys, parts), np.arange(parts + 1))
+def _counts_rows(block: int, keys: np.ndarray, at: np.ndarray, values: np.ndarray, parts: int, total: np.ndarray) -> pa.RecordBatch:
+    """The counts of the words with indices `at`, cut by ranges of their hashes; and the totals."""
+    keys = keys[at]
+    cut = np.searchsorted(_part_of(keys, parts), np.arange(parts + 1))
     part, rows = [], []
     for p in range(parts):
-        i, j = int(at[p]), int(at[p + 1])
+        i, j = int(cut[p]), int(cut[p + 1])
         if i < j:
             part.append(p)
-            rows.append((keys[i:j].tobytes(), np.array([i], np.int64).tobytes(), values[i:j].astype(np.float32).tobytes()))
+            rows.append((keys[i:j].tobytes(), at[i:j].astype(np.int32).tobytes(), values[i:j].astype(np.float32).tobytes()))
     part.append(-1 - block % TOTAL_PARTS)
     rows.append((b"", b"", total.astype(np.float64).tobytes()))
     key, place, body = zip(*rows)
@@ -191,40 +202,39 @@ def _sum_part(table: pa.Table, states: int, min_count: int, first: bool, seed: i
     """The new parameters of one range of words, cut into the slice of each block. First: from counts; else expected counts."""
     part = table.column("part")[0].as_py()
     bodies, blocks = table.column("body").to_pylist(), table.column("block").to_pylist()
+    out: list[tuple[int, bytes, bytes]] = []
     if part < 0:
-        total = np.sum([np.frombuffer(b, np.float64) for b in bodies], axis=0)
-        return pa.table({"block": pa.array([-1], pa.int64()), "part": pa.array([part], pa.int32()), "at": pa.array([b""], pa.binary()), "body": pa.array([total.tobytes()], pa.binary())})
-    keys = [np.frombuffer(b, np.uint64) for b in table.column("keys").to_pylist()]
-    order = np.argsort(blocks, kind="stable")  # one order of summing, whatever order the rows arrive in
-    vocab, at = np.unique(np.concatenate([keys[i] for i in order]), return_inverse=True)
-    values = np.concatenate([np.frombuffer(bodies[i], np.float32) for i in order]).reshape(len(at), -1)
-    sums = np.stack([np.bincount(at, values[:, j], len(vocab)) for j in range(values.shape[1])], axis=1)
-    if first:
-        rare = sums[:, 0] < min_count
-        owned, known_tokens = sums[:, :1] * _jitter(vocab, states, seed), float(sums[~rare, 0].sum())
-        owned[rare] = -1
-        extra = np.concatenate([[float((~rare).sum()), known_tokens], owned[~rare].sum(0)])
+        order = np.argsort(blocks, kind="stable")
+        out.append((-1, b"", np.sum([np.frombuffer(bodies[i], np.float64) for i in order], axis=0).tobytes()))
     else:
-        owned, extra = sums, None
-    out_block, out_at, out_body, begin = [], [], [], 0
-    where = table.column("at").to_pylist()
-    for i in order:
-        n = len(keys[i])
-        out_block.append(blocks[i])
-        out_at.append(where[i])
-        out_body.append(owned[at[begin : begin + n]].astype(np.float32).tobytes())
-        begin += n
-    if extra is not None:
-        out_block.append(-1)
-        out_at.append(b"")
-        out_body.append(extra.tobytes())
-    n = len(out_block)
-    return pa.table({"block": pa.array(out_block, pa.int64()), "part": pa.array([part] * n, pa.int32()), "at": pa.array(out_at, pa.binary()), "body": pa.array(out_body, pa.binary())})
+        keys, where = table.column("keys").to_pylist(), table.column("at").to_pylist()
+        order = np.argsort(blocks, kind="stable")  # one order of summing, whatever order the rows arrive in
+        sizes = [len(keys[i]) // 8 for i in order]
+        vocab, at = np.unique(np.concatenate([np.frombuffer(keys[i], np.uint64) for i in order]), return_inverse=True)
+        values = np.concatenate([np.frombuffer(bodies[i], np.float32) for i in order]).reshape(len(at), -1)
+        sums = np.stack([np.bincount(at, values[:, j], len(vocab)) for j in range(values.shape[1])], axis=1)
+        del values
+        known = np.ones(len(vocab), bool)
+        if first:
+            known = sums[:, 0] >= min_count
+            sums = sums[:, :1] * _jitter(vocab, states, seed)
+            out.append((-1, b"", np.concatenate([[float(known.sum()), float(sums[known].sum())], sums[known].sum(0)]).tobytes()))
+        sums, begin = sums.astype(np.float32), 0
+        for i, n in zip(order, sizes):
+            mine = at[begin : begin + n]
+            stay = known[mine]
+            if stay.any():
+                out.append((blocks[i], np.frombuffer(where[i], np.int32)[stay].tobytes(), sums[mine[stay]].tobytes()))
+            begin += n
+    block, place, body = zip(*out)
+    return pa.table({"block": pa.array(block, pa.int64()), "part": pa.array([part] * len(out), pa.int32()), "at": pa.array(place, pa.binary()), "body": pa.array(body, pa.binary())})
 
 
 def _read_slices(uri: str, block: int) -> list[tuple[bytes, bytes]]:
     where, path = open_fs(f"{uri}/block={block}")
     rows: list[tuple[bytes, bytes]] = []
+    if where.get_file_info(path).type == fs.FileType.NotFound:
+        return rows  # no word of the block is known
     for info in where.get_file_info(fs.FileSelector(path)):
         if info.base_name.endswith(".parquet"):
             with where.open_input_file(info.path) as file:
@@ -233,27 +243,17 @@ def _read_slices(uri: str, block: int) -> list[tuple[bytes, bytes]]:
     return rows
 
 
-def _emissions(uri: str, block: int, size: int, states: int, model: dict) -> np.ndarray:
-    """p(word | state) of each word of a block's vocabulary, for which known words have smoothed counts and rare ones share a symbol."""
-    raw = np.full((size, states), -1.0)
-    for at, body in _read_slices(uri, block):
-        part = np.frombuffer(body, np.float32).reshape(-1, states)
-        i = int(np.frombuffer(at, np.int64)[0])
-        raw[i : i + len(part)] = part
-    rare = raw[:, 0] < 0
+def _emissions(uri: str, block: int, size: int, states: int, model: dict) -> tuple[np.ndarray, np.ndarray]:
+    """p(word | state) of each word of a block's vocabulary, smoothed, and the indices of the known words; rare ones share a symbol."""
     down = model["emit_total"] + model["smooth"] * (model["vocab"] + 1)
-    out = (raw + model["smooth"]) / down
-    out[rare] = (model["rare"] + model["smooth"]) / down
-    return out
-
-
-def _rare(uri: str, block: int, size: int, states: int) -> np.ndarray:
-    flag = np.zeros(size, bool)
+    out = np.empty((size, states), np.float32)
+    out[:] = (model["rare"] + model["smooth"]) / down
+    known = np.zeros(size, bool)
     for at, body in _read_slices(uri, block):
-        part = np.frombuffer(body, np.float32).reshape(-1, states)
-        i = int(np.frombuffer(at, np.int64)[0])
-        flag[i : i + len(part)] = part[:, 0] < 0
-    return flag
+        i = np.frombuffer(at, np.int32)
+        known[i] = True
+        out[i] = (np.frombuffer(body, np.float32).reshape(-1, states) + model["smooth"]) / down
+    return out, np.flatnonzero(known)
 
 
 def _sub_batches(tokens: np.ndarray, lens: np.ndarray, size: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -275,8 +275,8 @@ def _sub_batches(tokens: np.ndarray, lens: np.ndarray, size: int) -> Iterator[tu
 def _columns(batch: pa.RecordBatch) -> Iterator[tuple[int, list, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     for row in range(batch.num_rows):
         get = lambda name: batch.column(name)[row]  # noqa: B023, E731
-        raw = lambda name, kind: np.frombuffer(get(name).as_py(), kind)  # noqa: B023, E731
-        yield get("block").as_py(), get("ids").as_py(), raw("lens", np.int32).astype(np.int64), raw("tokens", np.int32), raw("vocab", np.uint64), raw("counts", np.int64)
+        raw = lambda name, kind: np.frombuffer(get(name).as_buffer(), kind)  # noqa: B023, E731
+        yield get("block").as_py(), get("ids").as_py(), raw("lens", np.int32).astype(np.int64), raw("tokens", np.int32), raw("vocab", np.uint64), raw("counts", np.int32)
 
 
 def train(blocks: DataFrame, states: int, iterations: int, min_count: int, smooth: float, seed: int, words_per_part: int) -> tuple[dict, str, list[float]]:
@@ -285,24 +285,22 @@ def train(blocks: DataFrame, states: int, iterations: int, min_count: int, smoot
     size = blocks.agg(F.sum(F.length("vocab") / 8).alias("n")).first()["n"] or 0
     parts = max(1, int(size // words_per_part))
 
-    def publish(rows: DataFrame, first: bool) -> tuple[str, dict[int, list[np.ndarray]]]:
+    def publish(rows: DataFrame, first: bool) -> tuple[str, list[np.ndarray]]:
         uri = fresh(spark, "lm-model")
         new = rows.groupBy("part").applyInArrow(lambda t: _sum_part(t, states, min_count, first, seed), SLICE)
         new.repartition("block").write.partitionBy("block").parquet(uri)
-        total: dict[int, list[np.ndarray]] = {0: [], 1: []}
-        for at, body in _read_slices(uri, -1):
-            total[0].append(np.frombuffer(body, np.float64))
-        return uri, total
+        return uri, [np.frombuffer(body, np.float64) for _, body in _read_slices(uri, -1)]
 
     def first_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block, _, lens, tokens, vocab, counts in _columns(batch):
                 total = np.zeros(states + 2)
                 total[1] = -len(tokens)  # with the known tokens, what the rare ones are
-                yield _counts_rows(block, vocab, counts[:, None], parts, total)
+                yield _counts_rows(block, vocab, np.arange(len(vocab)), counts[:, None], parts, total)
 
     uri, total = publish(blocks.mapInArrow(first_counts, COUNTS), True)
-    sums = np.sum(total[0], axis=0) if total[0] else np.zeros(states + 2)
+    release(spark)
+    sums = np.sum(total, axis=0) if total else np.zeros(states + 2)
     rare_tokens = -sums[1]
     model = {
         "smooth": smooth, "vocab": float(sums[0]), "rare": np.full(states, rare_tokens / states), "emit_total": sums[2:] + rare_tokens / states,
@@ -315,24 +313,24 @@ def train(blocks: DataFrame, states: int, iterations: int, min_count: int, smoot
         def step(batches: Iterator[pa.RecordBatch], old: str = old, now: dict = now) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for block, _, lens, tokens, vocab, _ in _columns(batch):
-                    emit = _emissions(old, block, len(vocab), states, now)
-                    rare = _rare(old, block, len(vocab), states)
+                    emit, known = _emissions(old, block, len(vocab), states, now)
                     emits, pairs, start, loglik = np.zeros(emit.shape), np.zeros((states, states)), np.zeros(states), 0.0
-                    for _, tok, n in _sub_batches(tokens, lens, 1_000_000):
+                    for _, tok, n in _sub_batches(tokens, lens, BATCH):
                         a, b, c, d = expected(tok, n, emit, now["pi"], now["move"])
                         emits += a
                         pairs += b
                         start += c
                         loglik += d
-                    total = np.concatenate([pairs.ravel(), start, emits[rare].sum(0), emits.sum(0), [loglik]])
-                    emits[rare] = -1  # summed over blocks they stay below 0
-                    yield _counts_rows(block, vocab, emits, parts, total)
+                    every, own = emits.sum(0), emits[known]
+                    total = np.concatenate([pairs.ravel(), start, every - own.sum(0), every, [loglik]])
+                    yield _counts_rows(block, vocab, known, own, parts, total)
 
         uri, total = publish(blocks.mapInArrow(step, COUNTS), False)
         remove(old)
-        if not total[0]:
+        release(spark)
+        if not total:
             break
-        sums, k = np.sum(total[0], axis=0), states
+        sums, k = np.sum(total, axis=0), states
         pairs, start, rare, emit_total = sums[: k * k].reshape(k, k), sums[k * k : k * k + k], sums[k * k + k : k * k + 2 * k], sums[k * k + 2 * k : k * k + 3 * k]
         seen.append(float(sums[-1]))
         model = model | {
@@ -342,7 +340,7 @@ def train(blocks: DataFrame, states: int, iterations: int, min_count: int, smoot
     return model, uri, seen
 
 
-def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokens_per_block: int = 4_000_000) -> DataFrame:
+def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokens_per_block: int = 5_000_000) -> DataFrame:
     """Blocks of documents as indices into the blocks' own vocabularies, in the shared folder."""
     picked = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     return written(picked.mapInArrow(lambda it: _encode(it, tokens_per_block), BLOCK), "lm-blocks")
@@ -350,7 +348,7 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", toke
 
 def score_documents(
     docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", states: int = 8, iterations: int = 4, min_count: int = 5,
-    smooth: float = 0.01, seed: int = 1, tokens_per_block: int = 4_000_000, words_per_part: int = 800_000,
+    smooth: float = 0.01, seed: int = 1, tokens_per_block: int = 5_000_000, words_per_part: int = 200_000,
 ) -> DataFrame:
     """Train on all documents and score each: (doc_id, n_tokens, log_likelihood, perplexity), one row for each row of docs."""
     blocks = encode(docs, id_col, text_col, tokens_per_block)
@@ -359,9 +357,9 @@ def score_documents(
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block, ids, lens, tokens, vocab, _ in _columns(batch):
-                emit = _emissions(uri, block, len(vocab), states, model)
+                emit, _ = _emissions(uri, block, len(vocab), states, model)
                 out = np.zeros(len(lens))
-                for pick, tok, n in _sub_batches(tokens, lens, 1_000_000):
+                for pick, tok, n in _sub_batches(tokens, lens, BATCH):
                     out[pick] = forward(tok, n, emit, model["pi"], model["move"])
                 ppl = np.exp(-out / np.maximum(lens, 1))
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(lens, pa.int64()), pa.array(out), pa.array(ppl, mask=lens == 0)], names=["doc_id", "n_tokens", "log_likelihood", "perplexity"])

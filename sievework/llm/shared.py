@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
+import time
 import uuid
 
 from pyarrow import fs
@@ -57,3 +59,14 @@ def written(df: DataFrame, what: str) -> DataFrame:
     uri = fresh(spark, what)
     df.write.parquet(uri)
     return spark.read.schema(df.schema).parquet(uri)
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark's cleaner delete the shuffle files of plans that are no longer referred to; an iterative job calls it between rounds.
+
+    The first collection drops the references that Python's objects held, the second the plans.
+    """
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.3)
