@@ -10,6 +10,7 @@ import re
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 SPACES = [(0x09, 0x0D), (0x1C, 0x20), (0x85, 0x85), (0xA0, 0xA0), (0x1680, 0x1680), (0x2000, 0x200A), (0x2028, 0x2029), (0x202F, 0x202F), (0x205F, 0x205F), (0x3000, 0x3000)]
 BREAKS = [(0x0A, 0x0D), (0x1C, 0x1E), (0x85, 0x85), (0x2028, 0x2029)]
@@ -31,7 +32,7 @@ def content_hash(text: Column) -> Column:
     return F.sha2(text, 256)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _casefold(text: pd.Series) -> pd.Series:
     return text.str.casefold()
 
@@ -107,7 +108,7 @@ def has_personal_data(text: Column) -> Column:
     return text.rlike(EMAIL) | text.rlike(PHONE)
 
 
-@F.pandas_udf("boolean")
+@F.pandas_udf(T.BooleanType())
 def has_personal_data_strict(text: pd.Series) -> pd.Series:
     """As has_personal_data with Python's Unicode classes: digits of all scripts count."""
     mail = re.compile(EMAIL)
