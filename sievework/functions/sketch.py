@@ -1,7 +1,7 @@
 """Similarity sketches of 64 bits: token trigrams vote on each bit, repeats count, and a tie sets the bit.
 
-Two hashes of a trigram are offered: BLAKE2b with 8 bytes, in Arrow batches, and the first half of SHA-256's first 16 bytes, which runs
-in the JVM and has an equivalent in SQL engines. Signatures are signed longs holding the unsigned value's bits; a text
+Two hashes of a trigram are offered, both in Arrow batches: BLAKE2b with 8 bytes, and the first 8 bytes of SHA-256, which
+SQL engines have too. Signatures are signed longs holding the unsigned value's bits; a text
 without tokens has all bits set.
 """
 
@@ -22,20 +22,22 @@ BITS = 64
 _TOKEN = re.compile(t.WORD)
 
 
-def _signed(value: int) -> int:
-    return value - (1 << 64) if value >> 63 else value
+def _vote(digests: list[bytes]) -> int:
+    """The signed signature of trigram digests of 8 bytes."""
+    if not digests:
+        return -1
+    bits = np.unpackbits(np.frombuffer(b"".join(digests), np.uint8).reshape(-1, 8), axis=1)
+    votes = 2 * bits.sum(axis=0, dtype=np.int64) >= len(digests)
+    return int(np.frombuffer(np.packbits(votes).tobytes(), ">i8")[0])
+
+
+def _grams(tokens: list[str]) -> list[str]:
+    return ["\x1f".join(tokens[i : i + 3]) for i in range(len(tokens) - 2)] if len(tokens) >= 3 else tokens
 
 
 def simhash_of(text: str) -> int:
     """The signed BLAKE2b signature of one text."""
-    tokens = _TOKEN.findall(" ".join(text.casefold().split()))
-    grams = ["\x1f".join(tokens[i : i + 3]) for i in range(len(tokens) - 2)] if len(tokens) >= 3 else tokens
-    if not grams:
-        return -1
-    raw = b"".join(hashlib.blake2b(g.encode(), digest_size=8).digest() for g in grams)
-    bits = np.unpackbits(np.frombuffer(raw, np.uint8).reshape(-1, 8), axis=1)
-    votes = 2 * bits.sum(axis=0, dtype=np.int64) >= len(grams)
-    return int(np.frombuffer(np.packbits(votes).tobytes(), ">i8")[0])
+    return _vote([hashlib.blake2b(g.encode(), digest_size=8).digest() for g in _grams(_TOKEN.findall(" ".join(text.casefold().split())))])
 
 
 @F.pandas_udf(T.LongType())
@@ -43,16 +45,14 @@ def simhash_blake2b(text: pd.Series) -> pd.Series:
     return pd.Series([None if x is None else simhash_of(x) for x in text], dtype="Int64")
 
 
+@F.pandas_udf(T.LongType())
+def _simhash_words(words: pd.Series) -> pd.Series:
+    return pd.Series([None if x is None else _vote([hashlib.sha256(g.encode()).digest()[:8] for g in _grams(list(x))]) for x in words], dtype="Int64")
+
+
 def simhash_sha(rows: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, signature) by the JVM's hash. Votes are summed where the trigrams arise, so one row a document is shuffled."""
-    grams = rows.select(key, F.explode_outer(t.shingles(t.words(F.col(text)))).alias("gram"))
-    hashed = grams.select(key, F.conv(F.substring(F.sha2("gram", 256), 1, 16), 16, -10).cast("long").alias("v"))
-    vote = lambda b: F.sum(F.when(F.shiftrightunsigned("v", b).bitwiseAND(F.lit(1)) == 1, 1).otherwise(-1))
-    voted = hashed.groupBy(key).agg(F.count("v").alias("n"), *(vote(b).alias(f"b{b}") for b in range(BITS)))
-    signature = F.lit(0).cast("long")
-    for b in range(BITS):
-        signature = signature.bitwiseOR(F.when(F.col(f"b{b}") >= 0, F.lit(_signed(1 << b))).otherwise(F.lit(0)).cast("long"))
-    return voted.select(key, F.when(F.col("n") == 0, F.lit(-1).cast("long")).otherwise(signature).alias("signature"))
+    """(key, signature) by SHA-256, of the words that the JVM finds; nothing is shuffled."""
+    return rows.select(key, _simhash_words(t.words(F.col(text))).alias("signature"))
 
 
 def hamming(a: Column, b: Column) -> Column:

@@ -73,7 +73,7 @@ def words(text: Column) -> Column:
 
 
 def shingles(tokens: Column, n: int = 3) -> Column:
-    """n-grams joined by U+001F; fewer tokens than n are shingles themselves."""
+    """n-grams joined by U+001F; fewer tokens than n are shingles themselves. Give it a column, not an expression, which would be computed for each n-gram."""
     grams = F.transform(F.sequence(F.lit(0), F.size(tokens) - n), lambda i: F.array_join(F.slice(tokens, i + 1, n), "\x1f"))
     return F.when(F.size(tokens) >= n, grams).otherwise(tokens)
 
