@@ -52,7 +52,7 @@ def utf8(texts: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     return body[offs[0] : offs[-1]], offs - offs[0]
 
 
-def pieces(offs: np.ndarray, limit: int = 1 << 21) -> Iterator[tuple[int, int]]:
+def pieces(offs: np.ndarray, limit: int = 1 << 19) -> Iterator[tuple[int, int]]:
     """Ranges of texts of about `limit` bytes each; a longer text is a range of its own."""
     i, n = 0, len(offs) - 1
     while i < n:
