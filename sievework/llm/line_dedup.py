@@ -1,10 +1,10 @@
-"""Line dedup by a deletion-neighbourhood join: hashed variants within the edit bound, equal variants joined, distance verified, earliest kept.
+"""Line dedup within an edit bound: keys that lines within the bound share are joined, distance verified, earliest kept.
 
 A line takes part if it has `min_chars` characters or more. An occurrence is dropped if an earlier one in the corpus, in the order of
-(doc_id, line), has a line within the edit distance bound, which is 1: equal lines are at distance 0, and the
-earlier one counts whether or not it is dropped itself. So the first of each distinct line stays unless a line one edit away begins earlier.
+(doc_id, line), has a line within the edit distance bound, `edits`: equal lines are at distance 0, and the
+earlier one counts whether or not it is dropped itself. So the first of each distinct line stays unless a line within the bound begins earlier.
 
-Steps. One pass over the texts gives each line's place, its hash of 128 bits, which stands for it from here on, and the keys of its
+Steps for a bound of 1, a deletion-neighbourhood join. One pass over the texts gives each line's place, its hash of 128 bits, which stands for it from here on, and the keys of its
 halves. Equal lines are collapsed to their first place. A necessary condition thins them: two lines one edit
 apart agree in their first or in their last half (the halves of the longer one), so a line whose half no other distinct line of a
 fitting length has can't have a partner. Those left, by the lengths of the partners they may have, emit every variant with one character
@@ -14,6 +14,12 @@ each member's candidate and no group is multiplied out. Then the texts of the li
 distance verified. Texts are moved only of lines left by the condition: their hashes, up to `KNOWN` of them, are sent to the
 scan; beyond that the texts of all lines are joined with them by shuffle.
 
+Steps for a bound of 2 or more. The shorter of two lines is cut into edits + 1 segments, of which one at least stands unchanged in the longer,
+moved by few characters (`_segments`). Every line's substrings that may be such a segment of a line up to `edits` shorter
+are keys; the line's own segments are among them. Lines no key of which another distinct line shares are left out. Those left are
+joined by key, pairs whose parity sketches differ by more than the edits can explain are dropped, and the distance of the rest is verified.
+Lines of few characters have short segments, which many lines share: these groups do multiply out, before the sketches.
+
 Defined results: a null text has no lines. An empty text has one empty line. Empty and short lines are kept always. A null id counts as
 the greatest. Rows that repeat are copies: the second row's lines are dropped. Lines end with \\n only, and are compared
 as they are. Other columns take no part. An empty table gives an empty result.
@@ -96,17 +102,100 @@ def _each(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, _Lines]
             yield batch.column(0).slice(i, j - i), _Lines(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i], null[i:j])
 
 
-def _occurrences(docs: DataFrame, min_chars: int) -> DataFrame:
-    """Every line's place, its hash (null where it takes no part) and the keys of its halves."""
+def _occurrences(docs: DataFrame, min_chars: int, halves: bool) -> DataFrame:
+    """Every line's place, its hash (null where it takes no part) and, if asked for, the keys of its halves."""
+    names = OCCURRENCE if halves else OCCURRENCE[: OCCURRENCE.index(", k0")]
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, lines in _each(batches):
             out = lines.size < min_chars
-            hashes = [lines.hash(lines.start, lines.end), lines.second(), *lines.halves()]
+            hashes = [lines.hash(lines.start, lines.end), lines.second(), *(lines.halves() if halves else [])]
             columns = [ids.take(pa.array(lines.doc)), pa.array(lines.number, pa.int32()), *(pa.array(x.view(np.int64), mask=out) for x in hashes)]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "line_no", "h", "g", "k0", "k1", "k2", "k3"])
+            yield pa.RecordBatch.from_arrays(columns, names=[x.split()[0] for x in names.split(", ")])
+
+    return written(docs.mapInArrow(scan, names), "line-places")
 
-    return written(docs.mapInArrow(scan, OCCURRENCE), "line-places")
+
+def _segments(n: np.ndarray, edits: int) -> Iterator[tuple[bool, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """For lines of n characters: (own, lines, tag, begin, size) of the substrings that may be a segment of a line up to `edits` shorter.
+
+    If two lines are within the bound, one of the shorter's edits + 1 segments is such a substring of the longer with the same tag, for of the segments
+    that match some has as many edits before it as its number at most and as many after it as segments follow. own: the line's own segments.
+    """
+    parts = edits + 1
+    for less in range(edits + 1):
+        length = n - less
+        for i in range(parts):
+            size = length // parts + (i >= parts - length % parts)
+            place = length // parts * i + np.maximum(0, i - (parts - length % parts))
+            for move in range(max(-i, less - (edits - i)), min(i, less + edits - i) + 1):
+                begin = place + move
+                lines = np.flatnonzero((length >= 0) & (begin >= 0) & (begin + size <= n))
+                yield less == 0 and move == 0, lines, (length * parts + i)[lines].astype(np.uint64), begin[lines], size[lines]
+
+
+def _keys(docs: DataFrame, min_chars: int, edits: int) -> DataFrame:
+    """(key, h): the keys of each line's substrings. The lowest bit of h is replaced: 1 for the line's own segments."""
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, lines in _each(batches):
+            h = lines.hash(lines.start, lines.end) & ~np.uint64(1)
+            pick = np.flatnonzero(lines.size >= min_chars)
+            pick = pick[np.unique(h[pick], return_index=True)[1]]
+            base = lines.signs[lines.start[pick]]
+            for own, some, tag, begin, size in _segments(lines.size[pick], edits):
+                first = lines.at[base[some] + begin]
+                with np.errstate(over="ignore"):
+                    key = textvec.mix(lines.hash(first, np.where(size > 0, lines.at[base[some] + begin + size], first)) * np.uint64(7) + textvec.mix(tag))
+                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array((h[pick[some]] | np.uint64(own)).view(np.int64))], names=["key", "h"])
+
+    return docs.mapInArrow(scan, "key long, h long")
+
+
+def _sharing(keys: DataFrame) -> DataFrame:
+    """(half_h): of the lines one of whose keys is another distinct line's segment, or one of whose segments is another's key, the hash without its lowest bit."""
+    row = keys.select("key", F.shiftright("h", 1).alias("half_h"), (F.col("h").bitwiseAND(F.lit(1)) == 1).alias("own"))
+    by = Window.partitionBy("key")
+    low, high = (f("half_h").over(by) for f in (F.min, F.max))
+    own_low, own_high = (f(F.when(F.col("own"), F.col("half_h"))).over(by) for f in (F.min, F.max))
+    seen = row.select("half_h", F.when(F.col("own"), low != high).otherwise((own_low != F.col("half_h")) | (own_high != F.col("half_h"))).alias("shared"))
+    return seen.where("shared").select("half_h").distinct()
+
+
+def _sketched(edits: int):
+    """Of lines: (place, key, own, one, two) for each key; one and two are the parities of 64 classes of characters and of neighbours.
+
+    A substitution changes 2 parities of `one` and 4 of `two` at most; the other edits change fewer.
+    """
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column("line").to_pylist()
+            i = 0
+            while i < len(texts):
+                j, held = i, 0
+                while j < len(texts) and (held == 0 or held + len(texts[j]) < 500_000):
+                    held += len(texts[j])
+                    j += 1
+                n = np.array([len(t) for t in texts[i:j]], np.int64)
+                code = np.frombuffer("".join(texts[i:j]).encode("utf-32-le"), np.uint32).astype(np.uint64) + np.uint64(1)
+                start = np.cumsum(n) - n
+                with np.errstate(over="ignore"):
+                    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(code * textvec.powers(_BASE, len(code) + 1)[: len(code)])])
+                    bits = [textvec.mix(code), textvec.mix(code[:-1] * np.uint64(_BASE2) + code[1:])]
+                    xor = [np.concatenate([np.zeros(1, np.uint64), np.bitwise_xor.accumulate(np.uint64(1) << (b >> np.uint64(58)))]) for b in bits]
+                    one = xor[0][start + n] ^ xor[0][start]
+                    two = np.where(n > 1, xor[1][np.maximum(start + n - 1, 0)] ^ xor[1][np.minimum(start, len(xor[1]) - 1)], np.uint64(0))
+                places = batch.column("place").slice(i, j - i)
+                for own, some, tag, begin, size in _segments(n, edits):
+                    first = start[some] + begin
+                    with np.errstate(over="ignore"):
+                        key = textvec.mix(textvec.mix((total[first + size] - total[first]) * textvec.powers(_INVERSE, len(code) + 1)[first]) * np.uint64(7) + textvec.mix(tag))
+                    columns = [places.take(pa.array(some)), pa.array(key.view(np.int64)), pa.array(np.full(len(some), own)), pa.array(one[some].view(np.int64)), pa.array(two[some].view(np.int64))]
+                    yield pa.RecordBatch.from_arrays(columns, names=["place", "key", "own", "one", "two"])
+                i = j
+
+    return scan
 
 
 def _texts(docs: DataFrame, min_chars: int, known: np.ndarray | None) -> DataFrame:
@@ -182,27 +271,50 @@ def _partners(distinct: DataFrame) -> DataFrame:
     return flags.where("shorter or longer or equal").groupBy("h").agg(*(F.max(c).alias(c) for c in ("shorter", "longer", "equal")))
 
 
-def find_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 12) -> DataFrame:
-    """(doc_id, line_no, first_doc_id, first_line_no, keep) for every line: the place of the earliest line within the bound, its own if it is that."""
+def _star_pairs(text: DataFrame) -> DataFrame:
+    """(place, other): lines and earlier ones that may be one edit away, the earliest such of each group."""
+    keyed = text.mapInArrow(_variants, T.StructType([text.schema["place"], T.StructField("key", T.LongType()), T.StructField("kind", T.ByteType())]))
+    # Kind 0 meets kind 1, and kind 2 meets kind 2: the candidate is the earliest on the other side.
+    group = Window.partitionBy("key")
+    whole, deleted, placed = (F.min(F.when(F.col("kind") == k, F.col("place"))).over(group) for k in range(3))
+    offered = keyed.select("place", F.when(F.col("kind") == 0, deleted).when(F.col("kind") == 1, whole).otherwise(placed).alias("other")).where("other < place")
+    return offered.groupBy("place").agg(F.collect_set("other").alias("others")).select("place", F.explode("others").alias("other"))
+
+
+def _segment_pairs(text: DataFrame, edits: int) -> DataFrame:
+    """(place, other): lines and all earlier ones that share a segment, and whose sketches allow the bound."""
+    bit = T.StructType([text.schema["place"], T.StructField("key", T.LongType()), T.StructField("own", T.BooleanType()), T.StructField("one", T.LongType()), T.StructField("two", T.LongType())])
+    keyed = written(text.mapInArrow(_sketched(edits), bit), "line-keys")
+    mine = keyed.where("own").select("key", F.col("place").alias("p"), F.col("one").alias("one_p"), F.col("two").alias("two_p"))
+    fits = (F.bit_count(F.col("one").bitwiseXOR(F.col("one_p"))) <= 2 * edits) & (F.bit_count(F.col("two").bitwiseXOR(F.col("two_p"))) <= 4 * edits)
+    met = keyed.drop("own").join(mine.hint("merge"), "key").where(fits & (F.col("place") != F.col("p")))
+    return met.select(F.greatest("place", "p").alias("place"), F.least("place", "p").alias("other")).distinct()
+
+
+def find_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 12, edits: int = 1) -> DataFrame:
+    """(doc_id, line_no, first_doc_id, first_line_no, keep) for every line: the place of the earliest line within `edits` edits, its own if it is that."""
+    if edits < 1:
+        raise ValueError("edits must be 1 or more")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    places = _occurrences(rows, min_chars)
+    halves = edits == 1
+    places = _occurrences(rows, min_chars, halves)
     part = places.where("h is not null")
-    collapsed = part.groupBy("h", "g").agg(F.min(_place()).alias("place"), *(F.first(f"k{k}").alias(f"k{k}") for k in range(4)))
+    collapsed = part.groupBy("h", "g").agg(F.min(_place()).alias("place"), *(F.first(f"k{k}").alias(f"k{k}") for k in range(4 * halves)))
     distinct = written(collapsed, "line-distinct")
-    left = written(distinct.select("h", "g", "place").join(_partners(distinct), "h"), "line-candidates")
+    if halves:
+        left = distinct.select("h", "g", "place").join(_partners(distinct), "h")
+    else:
+        sharing = written(_sharing(_keys(rows, min_chars, edits)), "line-sharing")
+        left = distinct.join(sharing, F.shiftright("h", 1) == F.col("half_h")).drop("half_h")
+    left = written(left, "line-candidates")
     known = None
     if left.count() <= KNOWN:
         known = np.unique(left.select("h").toPandas()["h"].to_numpy(np.int64))
     text = _texts(rows, min_chars, known).join(left, ["h", "g", "place"]).dropDuplicates(["h", "g"])
     text = written(text, "line-left")
-    keyed = text.mapInArrow(_variants, T.StructType([text.schema["place"], T.StructField("key", T.LongType()), T.StructField("kind", T.ByteType())]))
-    # Kind 0 meets kind 1, and kind 2 meets kind 2: the candidate is the earliest on the other side.
-    group = Window.partitionBy("key")
-    whole, deleted, placed = (F.min(F.when(F.col("kind") == k, F.col("place"))).over(group) for k in range(3))
-    offered = keyed.select("place", F.when(F.col("kind") == 0, deleted).when(F.col("kind") == 1, whole).otherwise(placed).alias("other")).where("other < place")
-    pairs = offered.groupBy("place").agg(F.collect_set("other").alias("others")).select("place", F.explode("others").alias("other"))
+    pairs = _star_pairs(text) if edits == 1 else _segment_pairs(text, edits)
     theirs = text.select(F.col("place").alias("other"), F.col("line").alias("other_line"))
-    close = pairs.join(text.select("h", "g", "place", "line"), "place").join(theirs, "other").where(F.levenshtein("line", "other_line", 1) >= 0)
+    close = pairs.join(text.select("h", "g", "place", "line"), "place").join(theirs, "other").where(F.levenshtein("line", "other_line", edits) >= 0)
     close = close.groupBy("h", "g").agg(F.min("other").alias("other"))
     fate = distinct.select("h", "g", "place").join(close, ["h", "g"], "left").select("h", "g", F.least("place", "other").alias("first"))
     # The lines' places are joined with the fates by shuffle at every size, for both grow with the lines.

@@ -65,6 +65,12 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_lines(_table(spark, sf_dir, "documents"))
 
 
+def op9_line_dedup_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sievework.llm.line_dedup import find_lines
+
+    return find_lines(_table(spark, sf_dir, "documents"), edits=2)
+
+
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     from sievework.llm.url_filter import filter_urls
 
@@ -81,6 +87,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_bpe": op7_bpe,
     "op8_packing": op8_packing,
     "op9_line_dedup": op9_line_dedup,
+    "op9_line_dedup_wide": op9_line_dedup_wide,
     "op10_url_filter": op10_url_filter,
 }
 

@@ -59,3 +59,45 @@ def test_long_lines_and_empty_table(spark):
     got = {r.doc_id: (r.first_doc_id, r.keep) for r in line_dedup.find_lines(docs).collect()}
     assert got == {1: (1, True), 2: (1, False), 3: (1, False), 4: (3, False)}
     assert line_dedup.find_lines(docs.limit(0)).count() == 0
+
+
+def within(rows, min_chars, edits):
+    """brute() for any bound; every place is of one row."""
+    lines = sorted((key, i, line) for key, text in rows for i, line in enumerate(text.split("\n")))
+    out = []
+    for n, (key, i, line) in enumerate(lines):
+        near = [(k, j) for k, j, other in lines[:n] if min(len(line), len(other)) >= min_chars and abs(len(line) - len(other)) <= edits and distance(line, other) <= edits]
+        out.append((key, i, *(near[0] if near else (key, i)), not near))
+    return out
+
+
+@pytest.mark.parametrize("edits", [2, 3])
+def test_wider_bound_matches_brute_force(spark, edits):
+    rng = random.Random(edits)
+    base = ["", "short", "aaaaaaaaaa", "abababababab", "a sentence of some length", "walked in the old town", "walked to the old town", "ünïcode 🙂 line"]
+    rows = []
+    for i in range(30):
+        lines = [rng.choice(base) for _ in range(rng.randrange(1, 6))]
+        for _ in range(edits + 1):
+            lines = [edited(rng, x) if x and rng.random() < 0.7 else x for x in lines]
+        rows.append((i * 7, "\n".join(lines)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = line_dedup.find_lines(docs, min_chars=8, edits=edits)
+    assert sorted(map(tuple, got.collect())) == within(rows, 8, edits)
+    assert line_dedup.find_lines(docs.limit(0), edits=edits).count() == 0
+
+
+def test_segments_lose_no_pair():
+    import numpy as np
+
+    rng = random.Random(5)
+    for _ in range(2000):
+        edits = rng.choice([2, 3, 4])
+        a = "".join(rng.choice("ab") for _ in range(rng.randrange(1, 16)))
+        b = a
+        for _ in range(edits):
+            b = edited(rng, b) if b else b
+        a, b = sorted((a, b), key=len)
+        assert distance(a, b) <= edits
+        keys = [{(int(t), x[p : p + m]) for own, _, tag, begin, size in line_dedup._segments(np.array([len(x)]), edits) if own or x is b for t, p, m in zip(tag, begin, size)} for x in (a, b)]
+        assert keys[0] & keys[1]
