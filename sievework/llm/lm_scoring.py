@@ -1,7 +1,8 @@
 """Hidden Markov language model: distributed Baum-Welch over all documents, then exact sequence likelihoods.
 
 The symbols are the words of textvec.words (a 64-bit hash stands for a word); those that the whole corpus
-holds fewer than `min_count` times share one symbol. Each block of documents keeps its words as indices into its own
+holds fewer than `min_count` times share one symbol. With `split_rare` a score gives each of them an equal share of the symbol's
+probability, so that the words' probabilities sum to 1; training is the same either way, for a factor common to all states cancels. Each block of documents keeps its words as indices into its own
 vocabulary. An iteration is one job:
 
     blocks -> expected counts of each block (map) -> sum by range of words (shuffle)
@@ -218,7 +219,7 @@ def _sum_part(table: pa.Table, states: int, min_count: int, first: bool, seed: i
         if first:
             known = sums[:, 0] >= min_count
             sums = sums[:, :1] * _jitter(vocab, states, seed)
-            out.append((-1, b"", np.concatenate([[float(known.sum()), float(sums[known].sum())], sums[known].sum(0)]).tobytes()))
+            out.append((-1, b"", np.concatenate([[float(known.sum()), float(sums[known].sum())], sums[known].sum(0), [float((~known).sum())]]).tobytes()))
         sums, begin = sums.astype(np.float32), 0
         for i, n in zip(order, sizes):
             mine = at[begin : begin + n]
@@ -247,7 +248,7 @@ def _emissions(uri: str, block: int, size: int, states: int, model: dict) -> tup
     """p(word | state) of each word of a block's vocabulary, smoothed, and the indices of the known words; rare ones share a symbol."""
     down = model["emit_total"] + model["smooth"] * (model["vocab"] + 1)
     out = np.empty((size, states), np.float32)
-    out[:] = (model["rare"] + model["smooth"]) / down
+    out[:] = (model["rare"] + model["smooth"]) / down / model["shares"]
     known = np.zeros(size, bool)
     for at, body in _read_slices(uri, block):
         i = np.frombuffer(at, np.int32)
@@ -294,16 +295,17 @@ def train(blocks: DataFrame, states: int, iterations: int, min_count: int, smoot
     def first_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block, _, lens, tokens, vocab, counts in _columns(batch):
-                total = np.zeros(states + 2)
+                total = np.zeros(states + 3)
                 total[1] = -len(tokens)  # with the known tokens, what the rare ones are
                 yield _counts_rows(block, vocab, np.arange(len(vocab)), counts[:, None], parts, total)
 
     uri, total = publish(blocks.mapInArrow(first_counts, COUNTS), True)
     release(spark)
-    sums = np.sum(total, axis=0) if total else np.zeros(states + 2)
+    sums = np.sum(total, axis=0) if total else np.zeros(states + 3)
     rare_tokens = -sums[1]
     model = {
-        "smooth": smooth, "vocab": float(sums[0]), "rare": np.full(states, rare_tokens / states), "emit_total": sums[2:] + rare_tokens / states,
+        "smooth": smooth, "vocab": float(sums[0]), "rare": np.full(states, rare_tokens / states), "emit_total": sums[2:-1] + rare_tokens / states,
+        "rare_types": float(sums[-1]), "shares": 1.0,
         "pi": np.full(states, 1 / states), "move": (np.ones((states, states)) + states * np.eye(states)) / (2 * states),
     }
     seen: list[float] = []
@@ -348,11 +350,13 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", toke
 
 def score_documents(
     docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", states: int = 8, iterations: int = 4, min_count: int = 5,
-    smooth: float = 0.01, seed: int = 1, tokens_per_block: int = 5_000_000, words_per_part: int = 200_000,
+    smooth: float = 0.01, seed: int = 1, tokens_per_block: int = 5_000_000, words_per_part: int = 200_000, split_rare: bool = False,
 ) -> DataFrame:
     """Train on all documents and score each: (doc_id, n_tokens, log_likelihood, perplexity), one row for each row of docs."""
     blocks = encode(docs, id_col, text_col, tokens_per_block)
     model, uri, _ = train(blocks, states, iterations, min_count, smooth, seed, words_per_part)
+    if split_rare:
+        model = model | {"shares": max(1.0, model["rare_types"])}
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

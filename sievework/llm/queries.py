@@ -14,7 +14,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     from sievework.llm.lm_scoring import score_documents
 
-    return score_documents(_table(spark, sf_dir, "documents"))
+    return score_documents(_table(spark, sf_dir, "documents"), split_rare=True)
 
 
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -113,3 +113,13 @@ def test_edges(spark):
     assert got[got.doc_id == 4].log_likelihood.nunique() == 1
     assert got[got.doc_id == 5].n_tokens.item() == 60_000 and math.isfinite(got[got.doc_id == 5].log_likelihood.item())
     assert lm_scoring.score_documents(spark.createDataFrame([], schema)).count() == 0
+
+
+def test_rare_words_share_their_symbol(spark):
+    """Probabilities of all words, each a text of its own, sum to 1."""
+    texts = ["the cat sat on the cat", "the", "cat", "sat", "on", "zebra", "yak", "gnu the"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(2)
+    one, all_ = ({r.doc_id: r.log_likelihood for r in lm_scoring.score_documents(docs, states=2, iterations=2, min_count=2, split_rare=split).collect()} for split in (True, False))
+    rare = 3  # zebra, yak, gnu
+    assert sum(math.exp(one[i]) for i in (1, 2, 3, 4)) + rare * math.exp(one[5]) == pytest.approx(1, rel=1e-5)
+    assert one[5] == pytest.approx(all_[5] - math.log(rare), rel=1e-5) and one[0] == pytest.approx(all_[0], rel=1e-6)
