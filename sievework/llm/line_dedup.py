@@ -1,6 +1,7 @@
 """Line dedup within an edit bound: keys that lines within the bound share are joined, distance verified, earliest kept.
 
-A line takes part if it has `min_chars` characters or more. An occurrence is dropped if an earlier one in the corpus, in the order of
+A line takes part if it has `min_chars` characters or more. With `exact_chars` below that, lines of so many characters or more
+take part too, but only equal ones are within their bound. An occurrence is dropped if an earlier one in the corpus, in the order of
 (doc_id, line), has a line within the edit distance bound, `edits`: equal lines are at distance 0, and the
 earlier one counts whether or not it is dropped itself. So the first of each distinct line stays unless a line within the bound begins earlier.
 
@@ -20,7 +21,7 @@ are keys; the line's own segments are among them. Lines no key of which another
 joined by key, pairs whose parity sketches differ by more than the edits can explain are dropped, and the distance of the rest is verified.
 Lines of few characters have short segments, which many lines share: these groups do multiply out, before the sketches.
 
-Defined results: a null text has no lines. An empty text has one empty line. Empty and short lines are kept always. A null id counts as
+Defined results: a null text has no lines. An empty text has one empty line. Empty lines, and those of fewer characters than both, are kept always (at `exact_chars` 0 empty lines are equal lines too). A null id counts as
 the greatest. Rows that repeat are copies: the second row's lines are dropped. Lines end with \\n only, and are compared
 as they are. Other columns take no part. An empty table gives an empty result.
 """
@@ -102,15 +103,15 @@ def _each(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, _Lines]
             yield batch.column(0).slice(i, j - i), _Lines(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i], null[i:j])
 
 
-def _occurrences(docs: DataFrame, min_chars: int, halves: bool) -> DataFrame:
-    """Every line's place, its hash (null where it takes no part) and, if asked for, the keys of its halves."""
+def _occurrences(docs: DataFrame, min_chars: int, halves: bool, exact_chars: int) -> DataFrame:
+    """Every line's place, its hash (null where it takes no part) and, if asked for, the keys of its halves (null where only equal lines count)."""
     names = OCCURRENCE if halves else OCCURRENCE[: OCCURRENCE.index(", k0")]
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, lines in _each(batches):
-            out = lines.size < min_chars
+            out, alone = lines.size < exact_chars, lines.size < min_chars
             hashes = [lines.hash(lines.start, lines.end), lines.second(), *(lines.halves() if halves else [])]
-            columns = [ids.take(pa.array(lines.doc)), pa.array(lines.number, pa.int32()), *(pa.array(x.view(np.int64), mask=out) for x in hashes)]
+            columns = [ids.take(pa.array(lines.doc)), pa.array(lines.number, pa.int32()), *(pa.array(x.view(np.int64), mask=alone if k > 1 else out) for k, x in enumerate(hashes))]
             yield pa.RecordBatch.from_arrays(columns, names=[x.split()[0] for x in names.split(", ")])
 
     return written(docs.mapInArrow(scan, names), "line-places")
@@ -263,7 +264,7 @@ def _variants(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _partners(distinct: DataFrame) -> DataFrame:
     """(h, shorter, longer, equal): the lines that share a half with a line of a fitting length; flags say as which of a pair."""
-    halved = distinct.select("h", F.explode(F.array(*(F.struct(F.col(f"k{k}").alias("half"), F.lit(k > 1).alias("more")) for k in range(4)))).alias("x")).select("h", "x.half", "x.more")
+    halved = distinct.where("k0 is not null").select("h", F.explode(F.array(*(F.struct(F.col(f"k{k}").alias("half"), F.lit(k > 1).alias("more")) for k in range(4)))).alias("x")).select("h", "x.half", "x.more")
     by = Window.partitionBy("half")
     least, most = (f(F.when(~F.col("more"), F.col("h"))).over(by) for f in (F.min, F.max))
     seen = halved.select("h", "more", (least != most).alias("equal"), least.isNotNull().alias("full"), F.max("more").over(by).alias("less"))
@@ -291,13 +292,13 @@ def _segment_pairs(text: DataFrame, edits: int) -> DataFrame:
     return met.select(F.greatest("place", "p").alias("place"), F.least("place", "p").alias("other")).distinct()
 
 
-def find_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 12, edits: int = 1) -> DataFrame:
+def find_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 12, edits: int = 1, exact_chars: int | None = None) -> DataFrame:
     """(doc_id, line_no, first_doc_id, first_line_no, keep) for every line: the place of the earliest line within `edits` edits, its own if it is that."""
     if edits < 1:
         raise ValueError("edits must be 1 or more")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     halves = edits == 1
-    places = _occurrences(rows, min_chars, halves)
+    places = _occurrences(rows, min_chars, halves, min_chars if exact_chars is None else min(exact_chars, min_chars))
     part = places.where("h is not null")
     collapsed = part.groupBy("h", "g").agg(F.min(_place()).alias("place"), *(F.first(f"k{k}").alias(f"k{k}") for k in range(4 * halves)))
     distinct = written(collapsed, "line-distinct")

@@ -68,7 +68,7 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_line_dedup_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
     from sievework.llm.line_dedup import find_lines
 
-    return find_lines(_table(spark, sf_dir, "documents"), edits=2)
+    return find_lines(_table(spark, sf_dir, "documents"), edits=2, exact_chars=1)
 
 
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -101,3 +101,11 @@ def test_segments_lose_no_pair():
         assert distance(a, b) <= edits
         keys = [{(int(t), x[p : p + m]) for own, _, tag, begin, size in line_dedup._segments(np.array([len(x)]), edits) if own or x is b for t, p, m in zip(tag, begin, size)} for x in (a, b)]
         assert keys[0] & keys[1]
+
+
+@pytest.mark.parametrize("edits", [1, 2])
+def test_short_lines_take_part_in_the_exact_collapse(spark, edits):
+    docs = spark.createDataFrame([(1, "Les.\n\nLes!\na sentence of some length"), (2, "Les.\n\nb sentence of some length\nLes."), (3, "Les!\nA\nA")], "doc_id long, text string")
+    got = {tuple(r[:2]): tuple(r[2:]) for r in line_dedup.find_lines(docs, edits=edits, exact_chars=1).collect()}
+    dropped = {(2, 0): (1, 0, False), (2, 3): (1, 0, False), (2, 2): (1, 3, False), (3, 0): (1, 2, False), (3, 2): (3, 1, False)}
+    assert len(got) == 11 and got == {p: dropped.get(p, (*p, True)) for p in got}
