@@ -4,8 +4,8 @@ A package is a ZIP file with WARC members under archive/ (each record a gzip mem
 indexes/ and a description. The reader never extracts a package: it reads the end record (and the ZIP64 end record where a
 field is full), the central directory, the local header of each member, the index, and then only the bytes of the
 records, neighbouring records in one read. Archive members have to be stored, for only then a record's place in the
-member is a place in the file; a compressed one is an error. Indexes may be stored or deflated; a package without an index
-is searched for its records once. One task locates the records of one package; the records are
+member is a place in the file; a compressed one is an error. Indexes may be stored or deflated, and lines of theirs that name no archive member are skipped.
+The bytes of a member that no index line covers are searched for records once, gzip members or plain ones by their Content-Length. One task locates the records of one package; the records are
 then spread by place, so a large package doesn't make a large task.
 
 The writer makes one package for each `rows_per_package` rows of a partition, always with ZIP64 fields; it writes aside and
@@ -142,7 +142,7 @@ class Package:
         for name in archives:
             if self.members[name][0]:
                 raise ValueError(f"{name} isn't stored, so its records have no place in the file")
-        indexed: set[str] = set()
+        indexed: dict[str, list[tuple[int, int]]] = {name: [] for name in archives}
         for name in sorted(self.members):
             if not name.startswith("indexes/") or name.endswith("/"):
                 continue
@@ -152,26 +152,65 @@ class Package:
                 if line.startswith("!") or brace < 0:
                     continue
                 entry = json.loads(line[brace:])
-                member = entry["filename"] if entry["filename"] in archives else "archive/" + entry["filename"]
-                indexed.add(member)
-                yield archives[member] + int(entry["offset"]), int(entry["length"])
-        for name in sorted(set(archives) - indexed):
-            yield from self._search(archives[name], self.members[name][2])
+                named = entry.get("filename", "")
+                member = named if named in archives else "archive/" + named
+                if member in archives:
+                    indexed[member].append((int(entry["offset"]), int(entry["length"])))
+                    yield archives[member] + indexed[member][-1][0], indexed[member][-1][1]
+        for name in sorted(archives):
+            done, size = 0, self.members[name][2]
+            for begin, length in [*sorted(indexed[name]), (size, 0)]:
+                if begin > done:
+                    yield from self._search(archives[name] + done, begin - done)
+                done = max(done, begin + length)
 
     def _search(self, at: int, size: int) -> Iterator[tuple[int, int]]:
-        """The gzip members of an archive without an index, in reads of a bounded size."""
-        done, begin, inflate, buffer = 0, 0, None, b""
+        """The records of a range without an index: gzip members, and plain records with line breaks between."""
+        begin = 0
+        while begin < size:
+            head = self.read(at + begin, min(4, size - begin))
+            blank = len(head) - len(head.lstrip(b"\r\n"))
+            if blank:
+                begin += blank
+            elif head[:2] == b"\x1f\x8b":
+                for end in self._gzip_ends(at, begin, size):
+                    yield at + begin, end - begin
+                    begin = end
+            else:
+                end = begin + self._plain_size(at + begin, size - begin)
+                yield at + begin, end - begin
+                begin = end
+
+    def _gzip_ends(self, at: int, done: int, size: int) -> Iterator[int]:
+        """Where each of the gzip members in a row ends, in reads of a bounded size."""
+        inflate, buffer = None, b""
         while done < size or buffer:
             if not buffer:
                 buffer = self.read(at + done, min(SPAN, size - done))
                 done += len(buffer)
+            if inflate is None and buffer[:1] != b"\x1f":
+                return
             inflate = inflate or zlib.decompressobj(31)
             inflate.decompress(buffer)
             buffer = inflate.unused_data if inflate.eof else b""
             if inflate.eof:
-                end = done - len(buffer)
-                yield at + begin, end - begin
-                begin, inflate = end, None
+                yield done - len(buffer)
+                inflate = None
+        if inflate is not None:
+            raise ValueError(f"a gzip member is cut off at byte {at + size}")
+
+    def _plain_size(self, at: int, size: int) -> int:
+        """Size of the uncompressed record that begins at a place, by its Content-Length."""
+        held = 4096
+        while b"\r\n\r\n" not in (head := self.read(at, min(held, size))):
+            if not head.startswith(b"WARC/") or held >= size:
+                raise ValueError(f"no record at byte {at}")
+            held *= 4
+        headers, _ = parse_record(head)
+        length = head.index(b"\r\n\r\n") + 4 + int(headers.get("content-length", size))
+        if length > size:
+            raise ValueError(f"the record at byte {at} is cut off or has no length")
+        return length
 
 
 def _package(rows: list[tuple[int | None, str | None, str | None]]) -> bytes:

@@ -79,3 +79,25 @@ def test_round_trip(spark):
     got = warc_zip.read_packages(spark, manifest)
     assert sorted(map(tuple, got.collect()), key=str) == sorted((r[:3] for r in rows), key=str)
     assert warc_zip.read_packages(spark, warc_zip.write_packages(pages.limit(0))).count() == 0
+
+
+def test_records_that_the_index_leaves_out_are_searched():
+    recs = records(9)
+    ends = [sum(map(len, recs[: i + 1])) for i in range(9)]
+    lines = [json.dumps({"filename": "a.warc.gz", "offset": ends[i] - len(recs[i]), "length": len(recs[i])}) for i in (7, 2, 3)]
+    lines.append(json.dumps({"filename": "index.cdx.gz", "offset": 0, "length": 99}))  # a ZipNum line
+    package = opened(library_zip([("archive/a.warc.gz", b"".join(recs))], "\n".join(f"com,h)/ 2020 {x}" for x in lines).encode()))
+    places = list(package.records())
+    assert len(places) == 9 and [package.read(*p) for p in sorted(places)] == recs
+
+
+@pytest.mark.parametrize("indexed", [False, True])
+def test_plain_members_are_searched_by_content_length(indexed):
+    recs = [gzip.decompress(r) for r in records(6)] + [warc_zip.record("response", {"WARC-Target-URI": "http://h/6", "X": "y" * 9000}, b"zipped")]
+    line = json.dumps({"filename": "a.warc", "offset": len(recs[0]), "length": len(recs[1]) - 4})
+    package = opened(library_zip([("archive/a.warc", b"".join(recs))], f"com 2020 {line}".encode() if indexed else None))
+    got = [warc_zip.parse_record(package.read(*p)) for p in sorted(package.records())]
+    assert got == [warc_zip.parse_record(r) for r in recs]
+    for bad in (recs[0][:-20], b"no record"):
+        with pytest.raises(ValueError):
+            list(opened(library_zip([("archive/a.warc", bad)])).records())
