@@ -5,7 +5,8 @@ the whole text counts, not only its beginning. With g and b the two sums, d = (g
 difference. A logistic function of d and of the log compression ratio log((g + 192) / (bytes + 192)) is fitted on the half of the
 sample that the dictionaries haven't seen: text that repeats itself shrinks to nothing with any dictionary, which
 the difference alone can't show. The dictionaries (fixed size) and four weights go to the tasks; the sample of
-labelled rows is bounded by `per_class`.
+labelled rows is bounded by `per_class`, and of each class's half of it the dictionary sees `pieces_per_class` pieces at most, drawn by hash
+over whole texts: of long documents most of the text isn't among them.
 
 Defined results: a null, empty or blank text has no score (null) and is not kept. Where the labels lack a class there is no model:
 scores are null and every document with text is kept. Rows that repeat are scored each. Other columns take no part.
@@ -28,7 +29,6 @@ THRESHOLD = 0.3
 #: Bytes added to both sizes, so that a short text is judged mildly.
 SMOOTH = 192
 PIECE = 1024
-PIECES_PER_CLASS = 4000
 
 
 def _compressor(raw: bytes) -> zstandard.ZstdCompressor:
@@ -72,13 +72,13 @@ def _own_lines(rows: DataFrame) -> DataFrame:
     return own.select("id", "good", F.array_join(F.col("kept.line"), "\n").alias("text"))
 
 
-def train(documents: DataFrame, labels: DataFrame, *, per_class: int = 3000, dictionary_bytes: int = 65_536, seed: int = 11) -> tuple[bytes, bytes, list[float]] | None:
+def train(documents: DataFrame, labels: DataFrame, *, per_class: int = 3000, pieces_per_class: int = 4000, dictionary_bytes: int = 65_536, seed: int = 11) -> tuple[bytes, bytes, list[float]] | None:
     """Dictionaries of good and of bad text, and the calibration's weights; None without rows of both classes."""
     rows = labelled.sample(documents, labels, per_class, seed)
     pieces = _own_lines(rows.where("fold = 0")).mapInArrow(_pieces, "good int, order long, raw binary")
     dictionary: dict[int, bytes] = {}
     for c in (0, 1):
-        drawn = [bytes(r["raw"]) for r in pieces.where(F.col("good") == c).orderBy("order", "raw").limit(PIECES_PER_CLASS).collect()]
+        drawn = [bytes(r["raw"]) for r in pieces.where(F.col("good") == c).orderBy("order", "raw").limit(pieces_per_class).collect()]
         if not drawn:
             return None
         try:

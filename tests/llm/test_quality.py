@@ -115,3 +115,9 @@ def test_sample_is_bounded_and_resolves_conflicts(spark, tables):
     labels = spark.createDataFrame([(i, q, 0) for i in range(300) for q in ((0, 1) if i == 7 else (1,))] + [(1000, 0, 0), (8, None, 0), (9, 5, 0)], "doc_id long, quality int, toxic int")
     got = labelled.sample(documents, labels, 50, 1).toPandas()
     assert (got.good == 1).sum() == 50 and got[got.good == 0].id.tolist() == [7]
+
+
+def test_pieces_of_the_dictionaries_are_bounded_by_a_parameter(tables):
+    few, many = (quality_classifier.train(*tables, pieces_per_class=n) for n in (1, 300))
+    for c in (0, 1):
+        assert len(few[c]) <= quality_classifier.PIECE < len(many[c])
