@@ -68,7 +68,7 @@ def test_training_raises_the_likelihood_and_ignores_blocks(spark):
     seen = {}
     for size in (300, 10**6):
         blocks = lm_scoring.encode(docs, tokens_per_block=size)
-        model, _, lik = lm_scoring.train(blocks, 2, 6, 1, 0.01, 1, 3)
+        lik = lm_scoring.train(blocks, 2, 6, 1, 0.01, 1, 3).seen
         assert all(b > a - 1e-2 for a, b in zip(lik, lik[1:])) and lik[-1] > lik[0]
         seen[size] = lik
     np.testing.assert_allclose(seen[300], seen[10**6], rtol=1e-4)
