@@ -7,14 +7,15 @@ group does; only ids and lengths are moved.
 
 Defined results: in a group, pieces are taken by length (greatest first), then id (null last), then part, and each
 goes into the first bin with room. A null text has no tokens and is in no bin (one row with null bin and length 0); an
-empty text has its end mark only. Rows that repeat are packed each. Other columns are ignored. An empty table gives an
+empty text has its end mark only. A text longer than a bin fills as many bins as it needs; ids are whole numbers and come back as they
+are, beside nulls too. Rows that repeat id and text are packed each, in one group. Other columns are ignored. An empty table gives an
 empty result.
 """
 
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -65,21 +66,21 @@ def pack_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
         F.pmod(F.xxhash64(F.lit(seed), F.col(id_col).cast("long"), F.xxhash64(text)), F.lit(groups)).alias("group_id"),
     )
 
-    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
-        n = pdf["n"].to_numpy()
+    def pack(table: pa.Table) -> pa.Table:
+        n, ids = table.column("n").to_numpy(), table.column("doc_id").combine_chunks()
+        null, key = ids.is_null().to_numpy(zero_copy_only=False), ids.fill_null(0).to_numpy(zero_copy_only=False)
         parts = np.maximum(1, -(-n // capacity))
         row = np.repeat(np.arange(len(n)), parts)
         part = np.arange(len(row)) - np.repeat(np.cumsum(parts) - parts, parts)
         length = np.minimum(capacity, n[row] - part * capacity)
-        key = pdf["doc_id"].to_numpy(dtype="float64", na_value=np.nan) if pdf["doc_id"].hasnans else pdf["doc_id"].to_numpy()
-        null = pd.isna(pdf["doc_id"]).to_numpy()
         order = np.lexsort((part, n[row], key[row], null[row], -length))
         order = order[length[order] > 0]
-        bins, offset = first_fit_decreasing(length[order], capacity)
-        out = pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64").to_numpy()[row], "part": part.astype("int32"), "group_id": pdf["group_id"].iloc[0], "bin_id": pd.array([None] * len(row), "Int64"), "bin_offset": pd.array([None] * len(row), "Int64"), "length": length})
-        at = out.columns.get_loc("bin_id")
-        out.iloc[order, at] = bins
-        out.iloc[order, at + 1] = offset
-        return out
+        bins, offset, none = np.zeros(len(row), np.int64), np.zeros(len(row), np.int64), length == 0
+        bins[order], offset[order] = first_fit_decreasing(length[order], capacity)
+        group = np.full(len(row), table.column("group_id")[0].as_py())
+        columns = [pa.array(key[row], mask=null[row]), pa.array(part, pa.int32()), pa.array(group), pa.array(bins, mask=none), pa.array(offset, mask=none), pa.array(length)]
+        return pa.table(columns, names=["doc_id", "part", "group_id", "bin_id", "bin_offset", "length"])
 
-    return rows.groupBy("group_id").applyInPandas(pack, "doc_id long, part int, group_id long, bin_id long, bin_offset long, length long")
+    # Named partitions, since Spark would take the few bytes of all groups together as one task.
+    tasks = min(groups, max(3 * docs.sparkSession.sparkContext.defaultParallelism, groups // 8))
+    return rows.repartition(tasks, "group_id").groupBy("group_id").applyInArrow(pack, "doc_id long, part int, group_id long, bin_id long, bin_offset long, length long")
