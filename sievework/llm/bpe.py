@@ -15,11 +15,13 @@ Words are split as by the pattern of the vocabulary, on whole texts, by characte
 letters, numbers or other signs, and white space. The strings of special tokens are ordinary text.
 
 Defined results: a null text has null tokens, null count and null round_trip; an empty text has no tokens. Rows that repeat are
-encoded each. Other columns take no part. An empty table gives an empty result.
+encoded each. A text of any length is one list of tokens; a word of any length is walked whole. In decoding, an id that the vocabulary lacks
+becomes the replacement character. Other columns take no part. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import hashlib
 import io
 import json
 import sys
@@ -33,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sievework.llm import textvec
-from sievework.llm.shared import fresh, open_fs
+from sievework.llm.shared import fresh, open_fs, shared_dir
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.json"
 LETTER, NUMBER, SPACE, OTHER = 0, 1, 2, 3
@@ -192,6 +194,9 @@ class Automaton:
         self.known_at = np.zeros(0, np.int64)
         self.known_n = np.zeros(0, np.int64)
         self.store = np.zeros(0, np.int32)
+        self.known_start = np.zeros(0, np.int64)
+        self.known_size = np.zeros(0, np.int64)
+        self.known_bytes = np.zeros(0, np.uint8)
 
     def _fill(self) -> None:
         size = 1 << (int(len(self.keys)).bit_length() + 2)
@@ -274,7 +279,10 @@ class Automaton:
         return out, n
 
     def encode_spans(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Tokens (as creation numbers) of the words data[start:end] in turn, and each word's count. Words seen before are looked up."""
+        """Tokens (as creation numbers) of the words data[start:end] in turn, and each word's count.
+
+        Words seen before are looked up by hash, and their bytes compared; a word that only shares a hash is walked by itself.
+        """
         hashes = textvec.span_hashes(data, starts, ends)
         own, first, where = np.unique(hashes, return_index=True, return_inverse=True)
         at = np.searchsorted(self.known, own)
@@ -283,7 +291,7 @@ class Automaton:
         new[inside] = self.known[at[inside]] != own[inside]
         if new.any():
             if len(self.known) + int(new.sum()) > REMEMBER and len(self.known):
-                self.known, self.known_at, self.known_n, self.store = self.known[:0], self.known_at[:0], self.known_n[:0], self.store[:0]
+                self.known, self.known_at, self.known_n, self.store, self.known_start, self.known_size, self.known_bytes = self.known[:0], self.known_at[:0], self.known_n[:0], self.store[:0], self.known_start[:0], self.known_size[:0], self.known_bytes[:0]
                 new[:] = True
             fresh_ = np.flatnonzero(new)
             s, e = starts[first[fresh_]], ends[first[fresh_]]
@@ -302,11 +310,19 @@ class Automaton:
             self.store = np.concatenate([self.store, *parts])
             known = np.concatenate([self.known, own[fresh_]])
             by = np.argsort(known, kind="stable")
+            here = len(self.known_bytes) + np.cumsum(size) - size
+            self.known_bytes = np.concatenate([self.known_bytes, data[np.repeat(s - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))]])
             self.known, self.known_at, self.known_n = known[by], np.concatenate([self.known_at, begin])[by], np.concatenate([self.known_n, n])[by]
+            self.known_start, self.known_size = np.concatenate([self.known_start, here])[by], np.concatenate([self.known_size, size])[by]
             at = np.searchsorted(self.known, own)
-        n = self.known_n[at][where]
-        begin = self.known_at[at][where]
-        return self.store[np.repeat(begin - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))], n
+        n, begin, store = self.known_n[at][where], self.known_at[at][where], self.store
+        theirs = self.known_start[at][where]
+        wrong = np.flatnonzero(~textvec.same_spans(data, starts, ends, self.known_bytes, theirs, theirs + self.known_size[at][where]))
+        for w in wrong.tolist():
+            tokens, k = self._each(data[starts[w] : ends[w]][None, :])
+            begin[w], n[w] = len(store), k[0]
+            store = np.concatenate([store, tokens])
+        return store[np.repeat(begin - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))], n
 
     def _each(self, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """As run(), for long words: a walk by the bytes of one word at a time."""
@@ -347,8 +363,12 @@ class Automaton:
         return self.label_bytes[np.repeat(self.label_at[tokens] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))]
 
     def decode(self, ids: np.ndarray) -> bytes:
-        """The bytes that token ids stand for."""
-        return self.labels(self.by_id[np.asarray(ids, np.int64)]).tobytes() if len(ids) else b""
+        """The bytes that token ids stand for; an id that the vocabulary lacks stands for the replacement character."""
+        ids = np.asarray(ids, np.int64)
+        token = np.where((ids >= 0) & (ids < len(self.by_id)), self.by_id[np.clip(ids, 0, len(self.by_id) - 1)], -1)
+        if len(ids) and token.min() < 0:
+            return b"".join(self.labels(np.array([t])).tobytes() if t >= 0 else "\ufffd".encode() for t in token.tolist())
+        return self.labels(token).tobytes() if len(ids) else b""
 
 
 _classes_of: list[np.ndarray] = []
@@ -436,7 +456,7 @@ def compile_vocabulary(path: str = VOCABULARY) -> dict[str, np.ndarray]:
 
 
 def publish(spark, tables: dict[str, np.ndarray]) -> str:
-    """Write the tables to the shared folder."""
+    """Write the tables to a new folder in the shared one."""
     uri = fresh(spark, "bpe-automaton")
     where, path = open_fs(uri)
     where.create_dir(path, recursive=True)
@@ -448,6 +468,22 @@ def publish(spark, tables: dict[str, np.ndarray]) -> str:
     return uri
 
 
+_published: dict[tuple[str, str], str] = {}
+
+
+def published(spark, vocabulary: str) -> str:
+    """The folder of a vocabulary's automaton, which this driver compiles once for each content of the file and shared folder."""
+    with open(vocabulary, "rb") as file:
+        key = shared_dir(spark), hashlib.sha256(file.read()).hexdigest()
+    uri = _published.get(key)
+    if uri is not None:
+        where, path = open_fs(uri)
+        if where.get_file_info(f"{path}/{Automaton.NAMES[-1]}.npy").type == fs.FileType.File:
+            return uri
+    _published[key] = publish(spark, compile_vocabulary(vocabulary))
+    return _published[key]
+
+
 _opened: dict[str, Automaton] = {}
 
 
@@ -470,7 +506,7 @@ def load(uri: str) -> Automaton:
 
 def encode_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = VOCABULARY) -> DataFrame:
     """(doc_id, n_tokens, tokens, round_trip): the ids of each whole text, and whether their decoding gives its bytes again."""
-    uri = publish(docs.sparkSession, compile_vocabulary(vocabulary))
+    uri = published(docs.sparkSession, vocabulary)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton = load(uri)
