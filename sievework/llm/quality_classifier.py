@@ -6,15 +6,17 @@ difference. A logistic function of d and of the log compression ratio log((g + 1
 sample that the dictionaries haven't seen: text that repeats itself shrinks to nothing with any dictionary, which
 the difference alone can't show. The dictionaries (fixed size) and four weights go to the tasks; the sample of
 labelled rows is bounded by `per_class`, and of each class's half of it the dictionary sees `pieces_per_class` pieces at most, drawn by hash
-over whole texts: of long documents most of the text isn't among them.
+over whole texts: of long documents most of the text isn't among them. Where zstandard refuses to train on them, for they are too few, all their text is the
+dictionary.
 
 Defined results: a null, empty or blank text has no score (null) and is not kept. Where the labels lack a class there is no model:
-scores are null and every document with text is kept. Rows that repeat are scored each. Other columns take no part.
+scores are null and every document with text is kept. Rows that repeat, and ties, are scored each by itself. A text of any length is scored whole.
+Other columns take no part and are returned as they are. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +24,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sievework.llm import labelled
+from sievework.llm import labelled, textvec
 
 #: p(good) from which a document is kept. Below a half, for a good document lost costs more than a bad one kept.
 THRESHOLD = 0.3
@@ -37,18 +39,18 @@ def _compressor(raw: bytes) -> zstandard.ZstdCompressor:
     return zstandard.ZstdCompressor(level=1, dict_data=words, write_content_size=False, write_checksum=False, write_dict_id=False)
 
 
-def features(texts: list[bytes], good: bytes, bad: bytes, piece: int = PIECE) -> np.ndarray:
+def features(texts: Iterable[bytes], good: bytes, bad: bytes, piece: int = PIECE) -> np.ndarray:
     """(normalised difference, log ratio) of each text."""
     g, b = _compressor(good), _compressor(bad)
-    out = np.zeros((len(texts), 2))
-    for i, text in enumerate(texts):
+    out = []
+    for text in texts:
         x = y = 0
         for at in range(0, len(text), piece):
             part = text[at : at + piece]
             x += len(g.compress(part))
             y += len(b.compress(part))
-        out[i] = (x - y) / (max(x, y) + SMOOTH), np.log((x + SMOOTH) / (len(text) + SMOOTH))
-    return out
+        out.append(((x - y) / (max(x, y) + SMOOTH), np.log((x + SMOOTH) / (len(text) + SMOOTH))))
+    return np.array(out).reshape(-1, 2)
 
 
 def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -72,9 +74,9 @@ def _own_lines(rows: DataFrame) -> DataFrame:
     return own.select("id", "good", F.array_join(F.col("kept.line"), "\n").alias("text"))
 
 
-def train(documents: DataFrame, labels: DataFrame, *, per_class: int = 3000, pieces_per_class: int = 4000, dictionary_bytes: int = 65_536, seed: int = 11) -> tuple[bytes, bytes, list[float]] | None:
+def train(documents: DataFrame, labels: DataFrame, *, per_class: int = 3000, pieces_per_class: int = 4000, dictionary_bytes: int = 65_536, seed: int = 11, id_col: str = "doc_id", text_col: str = "text") -> tuple[bytes, bytes, list[float]] | None:
     """Dictionaries of good and of bad text, and the calibration's weights; None without rows of both classes."""
-    rows = labelled.sample(documents, labels, per_class, seed)
+    rows = labelled.sample(documents, labels, per_class, seed, id_col=id_col, text_col=text_col)
     pieces = _own_lines(rows.where("fold = 0")).mapInArrow(_pieces, "good int, order long, raw binary")
     dictionary: dict[int, bytes] = {}
     for c in (0, 1):
@@ -83,8 +85,8 @@ def train(documents: DataFrame, labels: DataFrame, *, per_class: int = 3000, pie
             return None
         try:
             dictionary[c] = zstandard.train_dictionary(dictionary_bytes, drawn, level=3).as_bytes()
-        except zstandard.ZstdError:  # too little text to train on: the text itself serves
-            dictionary[c] = b"".join(drawn)[-dictionary_bytes:].ljust(8, b" ")
+        except zstandard.ZstdError:  # too few pieces to train on: all their text serves
+            dictionary[c] = b"".join(drawn).ljust(8, b" ")
     good, bad = dictionary[1], dictionary[0]
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -101,27 +103,27 @@ def classify(docs: DataFrame, model: tuple[bytes, bytes, list[float]] | None, *,
     """docs with their columns packed in `row`, and size_difference, score and keep."""
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = batch.column("text").to_pylist()
-            has = np.array([t is not None and not t.isspace() and t != "" for t in texts], bool)
-            d, p, keep = np.zeros(len(texts)), np.zeros(len(texts)), has.copy()
+        for row, text in labelled.row_texts(batches, text_at):
+            data, offs = textvec.utf8(text)
+            has = labelled.has_text(text)
+            d, p, keep = np.zeros(len(has)), np.zeros(len(has)), has.copy()
             if model is not None and has.any():
-                x = features([t.encode() for t, h in zip(texts, has) if h], model[0], model[1])
+                x = features((data[offs[i] : offs[i + 1]].tobytes() for i in np.flatnonzero(has)), model[0], model[1])
                 d[has] = x[:, 0]
                 p[has] = labelled.sigmoid(x @ np.array(model[2][:-1]) + model[2][-1])
                 keep[has] = p[has] >= threshold
-            none = ~has if model is not None else np.ones(len(texts), bool)
-            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(d, mask=none), pa.array(p, mask=none), pa.array(keep)], names=["row", "size_difference", "score", "keep"])
-
-    packed = docs.select(F.struct("*").alias("row"), F.col(text_col).cast("string").alias("text"))
+            none = ~has if model is not None else np.ones(len(has), bool)
+            yield pa.RecordBatch.from_arrays([row, pa.array(d, mask=none), pa.array(p, mask=none), pa.array(keep)], names=["row", "size_difference", "score", "keep"])
 
+    packed, text_at = docs.select(F.struct("*").alias("row")), docs.columns.index(text_col)
     return packed.mapInArrow(score, packed.select("row").schema.add("size_difference", "double").add("score", "double").add("keep", "boolean"))
 
 
-def classify_documents(documents: DataFrame, labels: DataFrame) -> DataFrame:
+def classify_documents(documents: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, size_difference, score, keep) for each document."""
-    model = train(documents, labels)
-    return classify(documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), model).select("row.doc_id", "size_difference", "score", "keep")
+    model = train(documents, labels, id_col=id_col, text_col=text_col)
+    rows = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    return classify(rows, model).select("row.doc_id", "size_difference", "score", "keep")
 
 
 def keep_good(docs: DataFrame, documents: DataFrame, labels: DataFrame) -> DataFrame:

@@ -7,7 +7,8 @@ Weights are fitted by logistic regression on half of a sample of labelled rows b
 on the other half. What goes to the tasks is the weights, 1 MB whatever the size of the corpus.
 
 Defined results: a null, empty or blank text has no score (null) and is not kept. Where the labels lack a class there is no model:
-scores are null and every document with text is kept. Rows that repeat are scored each. Other columns take no part.
+scores are null and every document with text is kept. Rows that repeat, and ties, are scored each by itself. A text of any length is scored whole.
+Other columns take no part and are returned as they are. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -113,9 +114,9 @@ def fit(places: list[np.ndarray], values: list[np.ndarray], good: np.ndarray, ro
     return out
 
 
-def train(documents: DataFrame, labels: DataFrame, *, per_class: int = 1500, seed: int = 23) -> tuple[np.ndarray, list[float]] | None:
+def train(documents: DataFrame, labels: DataFrame, *, per_class: int = 1500, seed: int = 23, id_col: str = "doc_id", text_col: str = "text") -> tuple[np.ndarray, list[float]] | None:
     """Weights and calibration; None without rows of both classes in both folds."""
-    rows = labelled.sample(documents, labels, per_class, seed)
+    rows = labelled.sample(documents, labels, per_class, seed, id_col=id_col, text_col=text_col)
     got = rows.mapInArrow(_vectors, "id long, good int, fold int, places binary, values binary").toPandas().sort_values(["id", "places"])
     good, fold = got["good"].to_numpy() == 1, got["fold"].to_numpy()
     places = [np.frombuffer(b, np.int32) for b in got["places"]]
@@ -135,26 +136,25 @@ def apply_rules(docs: DataFrame, model: tuple[np.ndarray, list[float]] | None, *
     slope, offset = model[1] if model else (0.0, 0.0)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            data, offs = textvec.utf8(batch.column("text"))
-            texts = batch.column("text").to_pylist()
-            has = np.array([t is not None and t != "" and not t.isspace() for t in texts], bool)
-            del texts
+        for row, text in labelled.row_texts(batches, text_at):
+            data, offs = textvec.utf8(text)
+            has = labelled.has_text(text)
             if weights is None:
                 p, keep, none = np.zeros(len(has)), has, np.ones(len(has), bool)
             else:
                 p = labelled.sigmoid(raw_scores(data, offs, weights.value) * slope + offset)
                 keep, none = has & (p >= threshold), ~has
-            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(p, mask=none), pa.array(keep)], names=["row", "score", "keep"])
+            yield pa.RecordBatch.from_arrays([row, pa.array(p, mask=none), pa.array(keep)], names=["row", "score", "keep"])
 
-    packed = docs.select(F.struct("*").alias("row"), F.col(text_col).cast("string").alias("text"))
+    packed, text_at = docs.select(F.struct("*").alias("row")), docs.columns.index(text_col)
     return packed.mapInArrow(score, packed.select("row").schema.add("score", "double").add("keep", "boolean"))
 
 
-def classify_documents(documents: DataFrame, labels: DataFrame) -> DataFrame:
+def classify_documents(documents: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, score, keep) for each document."""
-    model = train(documents, labels)
-    return apply_rules(documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), model).select("row.doc_id", "score", "keep")
+    model = train(documents, labels, id_col=id_col, text_col=text_col)
+    rows = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    return apply_rules(rows, model).select("row.doc_id", "score", "keep")
 
 
 def keep_good(docs: DataFrame, documents: DataFrame, labels: DataFrame) -> DataFrame:
