@@ -1,7 +1,7 @@
 """URL filter: gradient-boosted trees on lexical features, trained from labelled URLs.
 
-A URL is labelled bad where a part of its host is a seed term of spam, or where the document that its path names (the number in
-/<language>/<number>) is labelled of quality 0, and good where that document is of quality 1. The features are lexical and computed
+A URL is labelled bad where the document that its path names (the number in
+/<language>/<number>) is labelled of quality 0, and good where that document is of quality 1; no list of words takes part. The features are lexical and computed
 by Spark's own expressions: lengths, depth, ratios of digits and other signs, hyphens and labels of the host, entropy of the
 characters, counts of parameters, and of the suffix (the host's last two labels) how many URLs and hosts of the whole
 table have it and its share of bad ones among the labelled. That share comes from the half of the hosts that the URL's host isn't
@@ -24,8 +24,6 @@ from pyspark.sql import functions as F
 from sievework.llm.labelled import sigmoid
 from sievework.llm.shared import written
 
-#: Hosts that hold one of these between dots and hyphens are labelled bad.
-SEEDS = ("casino", "pills", "spam", "bets", "track", "viagra", "porn", "xxx", "warez", "poker")
 #: Probability of being bad from which a URL is dropped.
 THRESHOLD = 0.5
 FEATURES = ("length", "host_length", "path_length", "query_length", "depth", "digit_ratio", "other_ratio", "hyphens", "host_hyphens", "labels", "entropy", "host_entropy", "parameters", "has_fragment", "secure", "suffix_urls", "suffix_hosts", "suffix_bad")
@@ -64,11 +62,14 @@ def _lexical(rows: DataFrame) -> DataFrame:
 
 
 def label_urls(rows: DataFrame, labels: DataFrame) -> DataFrame:
-    """`bad`, 1, 0 or null where nothing is known, for each URL. The labels are joined by shuffle or broadcast as Spark finds them small."""
-    one = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("named")).agg(F.min("quality").alias("quality"))
-    seeded = F.arrays_overlap(F.split("host", "[.-]"), F.array(*(F.lit(s) for s in SEEDS)))
-    known = F.when(F.length("host") > 0, F.when(seeded, 1).otherwise(1 - F.col("quality"))).cast("int")
-    return rows.join(one, "named", "left").withColumn("bad", known).drop("quality")
+    """`bad`, 1, 0 or null where nothing is known, for each URL. The labels are joined by shuffle or broadcast as Spark finds them small.
+
+    URLs that name no document, which may be most, are spread over keys below 0, where no label is.
+    """
+    one = labels.where(F.col("quality").isin(0, 1) & (F.col("doc_id") >= 0)).groupBy(F.col("doc_id").cast("long").alias("named")).agg(F.min("quality").alias("quality"))
+    key = F.coalesce("named", -1 - F.pmod(F.xxhash64("url", "page_id"), F.lit(1 << 20)))
+    known = F.when(F.length("host") > 0, 1 - F.col("quality")).cast("int")
+    return rows.withColumn("key", key).join(one.withColumnRenamed("named", "key"), "key", "left").withColumn("bad", known).drop("quality", "key")
 
 
 class Trees:
@@ -134,6 +135,22 @@ class Trees:
         return sigmoid(z)
 
 
+#: A suffix of this share of all URLs or more is hot; there are so many hot suffixes at most.
+HOT = 1000
+
+
+def _with_suffix(rows: DataFrame, by_suffix: DataFrame) -> DataFrame:
+    """rows with the columns of their suffix. Hot suffixes, `HOT` at most, are broadcast; the rows that have one are spread over keys that no suffix is, so no key of the other join is hot."""
+    stats = [c for c in by_suffix.columns if c != "suffix"]
+    by_suffix = written(by_suffix, "url-suffixes")
+    total = by_suffix.agg(F.sum("s_n").alias("n")).first()["n"] or 0
+    hot = by_suffix.where(F.col("s_n") * HOT >= total).select("suffix", *(F.col(c).alias(f"hot_{c}") for c in stats))
+    out = rows.join(F.broadcast(hot), "suffix", "left")
+    key = F.when(F.col("hot_s_n").isNotNull(), F.concat(F.lit("/"), F.pmod(F.xxhash64("url", "page_id"), F.lit(1 << 20)).cast("string"))).otherwise(F.col("suffix"))
+    out = out.withColumn("join_key", key).join(by_suffix.where(F.col("s_n") * HOT < total).withColumnRenamed("suffix", "join_key"), "join_key", "left")
+    return out.select(*rows.columns, *(F.coalesce(F.col(f"hot_{c}"), F.col(c)).alias(c) for c in stats))
+
+
 def _featured(pages: DataFrame, labels: DataFrame, id_col: str, url_col: str) -> DataFrame:
     """(page_id, url, bad, x) of all rows, in the shared folder."""
     rows = label_urls(parts(pages, id_col, url_col), labels)
@@ -141,7 +158,7 @@ def _featured(pages: DataFrame, labels: DataFrame, id_col: str, url_col: str) ->
     shares = [F.coalesce(F.sum(F.when(F.col("fold") == k, c)), F.lit(0)).alias(f"{n}{k}") for k in (0, 1) for n, c in (("known", F.col("bad").isNotNull().cast("int")), ("bad", F.col("bad")))]
     by_suffix = rows.groupBy("suffix").agg(F.count("*").alias("s_n"), F.countDistinct("host").alias("s_hosts"), *shares)
     whole = rows.agg(F.coalesce(F.avg("bad"), F.lit(0.0)).alias("prior"))
-    joined = _lexical(rows).join(by_suffix, "suffix", "left").crossJoin(F.broadcast(whole))  # one row
+    joined = _with_suffix(_lexical(rows), by_suffix).crossJoin(F.broadcast(whole))  # one row
     other = lambda name: F.coalesce(F.when(F.col("fold") == 0, F.col(f"{name}1")).otherwise(F.col(f"{name}0")), F.lit(0))
     stats = joined.withColumns({
         "suffix_urls": F.log1p("s_n"), "suffix_hosts": F.log1p("s_hosts"),
