@@ -12,7 +12,7 @@ The writer makes one package for each `rows_per_package` rows of a partition, al
 renames, and only the packages named in its manifest, a table written once, are read.
 
 Defined results: page_id, url and html come back as they went in, nulls and empty texts included, for every row (repeated
-rows are records each). Columns besides the three aren't stored. An empty table gives no package and an empty result.
+rows are records each), however long; page ids are whole numbers. Columns besides the three aren't stored. An empty table gives no package and an empty result.
 """
 
 from __future__ import annotations
@@ -32,7 +32,9 @@ from sievework.llm.shared import fresh, open_fs, written
 
 PLACE = "path string, at long, size long"
 #: Bytes of neighbouring records that are read at once.
-SPAN = 4 << 20
+SPAN = 1 << 20
+#: Bytes of records that a task fetches, about.
+TASK_BYTES = 3 << 20
 _FULL32, _FULL16 = 0xFFFFFFFF, 0xFFFF
 
 
@@ -229,16 +231,19 @@ def _package(rows: list[tuple[int | None, str | None, str | None]]) -> bytes:
     return zip_package([("archive/data.warc.gz", bytes(archive)), ("indexes/index.cdxj", "\n".join(index).encode("utf-8")), ("datapackage.json", about.encode())])
 
 
-def write_packages(pages: DataFrame, *, rows_per_package: int = 2000) -> DataFrame:
-    """Packages in the shared folder; gives their manifest (path, n_rows)."""
+def write_packages(pages: DataFrame, *, rows_per_package: int = 2000, package_bytes: int = 32 << 20) -> DataFrame:
+    """Packages in the shared folder; gives their manifest (path, n_rows). A package is closed at so many rows or characters of html; a longer page has one to itself."""
     uri = fresh(pages.sparkSession, "warc-packages")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         where, folder = open_fs(uri)
         where.create_dir(folder, recursive=True)
         held: list = []
+        size = 0
 
         def flush() -> pa.RecordBatch:
+            nonlocal size
+            size = 0
             name = uuid.uuid4().hex
             with where.open_output_stream(f"{folder}/.{name}") as out:
                 out.write(_package(held))
@@ -248,10 +253,12 @@ def write_packages(pages: DataFrame, *, rows_per_package: int = 2000) -> DataFra
             return pa.RecordBatch.from_arrays([pa.array([f"{uri}/{name}.wacz"]), pa.array([n], pa.int64())], names=["path", "n_rows"])
 
         for batch in batches:
-            for row in zip(*(batch.column(c).to_pylist() for c in range(3))):
-                held.append(row)
-                if len(held) == rows_per_package:
-                    yield flush()
+            for i in range(0, batch.num_rows, 256):
+                for row in zip(*(batch.column(c).slice(i, 256).to_pylist() for c in range(3))):
+                    held.append(row)
+                    size += len(row[2] or "")
+                    if len(held) == rows_per_package or size >= package_bytes:
+                        yield flush()
         if held:
             yield flush()
 
@@ -298,6 +305,9 @@ def _fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def read_packages(spark: SparkSession, manifest: DataFrame) -> DataFrame:
     """(page_id, url, html) of every response record of the packages whose paths the manifest's `path` has."""
     packages = manifest.select("path").where("path is not null").repartition("path")
-    places = packages.mapInArrow(_locate, PLACE)
-    spread = places.repartition("path", F.floor(F.col("at") / SPAN)).sortWithinPartitions("path", "at")
+    places = written(packages.mapInArrow(_locate, PLACE), "warc-places")
+    # As many tasks as the records' bytes need, for Spark only sees the bytes of the places.
+    total = places.agg(F.sum("size").alias("n")).first()["n"] or 0
+    tasks = max(1, -(-total // TASK_BYTES))
+    spread = places.repartition(tasks, "path", F.floor(F.col("at") / SPAN)).sortWithinPartitions("path", "at")
     return spread.mapInArrow(_fetch, "page_id long, url string, html string")
