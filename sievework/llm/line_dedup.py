@@ -12,8 +12,9 @@ fitting length has can't have a partner. Those left, by the lengths of the partn
 deleted as a hashed key: equal lengths meet at equal (variant, place), which is one substitution; a line one longer meets
 the shorter at the shorter line itself, which is one deletion. Such groups are stars around the variant, so the least first place of the group is
 each member's candidate and no group is multiplied out. Then the texts of the line and its candidate are compared, and the
-distance verified. Texts are moved only of lines left by the condition: their hashes, up to `KNOWN` of them, are sent to the
-scan; beyond that the texts of all lines are joined with them by shuffle.
+distance verified. Texts are joined with the lines left by the condition by shuffle; before it, a filter of `filter_bits` bits, of a size that doesn't grow, drops
+most lines that aren't among them (fewer, the more lines are left; the result is the same). Keys that many lines share are never gathered: the least place of a key is aggregated, then joined, which
+adaptive execution splits where a key is hot.
 
 Steps for a bound of 2 or more. The shorter of two lines is cut into edits + 1 segments, of which one at least stands unchanged in the longer,
 moved by few characters (`_segments`). Every line's substrings that may be such a segment of a line up to `edits` shorter
@@ -21,7 +22,7 @@ are keys; the line's own segments are among them. Lines no key of which another
 joined by key, pairs whose parity sketches differ by more than the edits can explain are dropped, and the distance of the rest is verified.
 Lines of few characters have short segments, which many lines share: these groups do multiply out, before the sketches.
 
-Defined results: a null text has no lines. An empty text has one empty line. Empty lines, and those of fewer characters than both, are kept always (at `exact_chars` 0 empty lines are equal lines too). A null id counts as
+Defined results: a null text has no lines. An empty text has one empty line. Empty lines, and those of fewer characters than both, are kept always (at `exact_chars` 0 empty lines are equal lines too). Lines of any length are compared whole. Ids are whole numbers. A null id counts as
 the greatest. Rows that repeat are copies: the second row's lines are dropped. Lines end with \\n only, and are compared
 as they are. Other columns take no part. An empty table gives an empty result.
 """
@@ -32,18 +33,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sievework.llm import textvec
 from sievework.llm.shared import written
 
-_BASE, _INVERSE = textvec._BASE, textvec._INVERSE
-_BASE2 = 0xD6E8FEB86659FD93
-_INVERSE2 = pow(_BASE2, -1, 1 << 64)
-#: Hashes (8 bytes each) that are sent to the scan at most.
-KNOWN = 4_000_000
+#: Seed of the second of the two hashes that stand for a line.
+SECOND = 0xD6E8FEB86659FD93
+_PRIME = np.uint64((1 << 31) - 1)
+#: Bases, and their inverses modulo the prime, of the two sums that hash a line less a character.
+_BASES = tuple((b, pow(b, -1, (1 << 31) - 1)) for b in (1_103_515_245, 1_664_525_001))
 OCCURRENCE = "doc_id long, line_no int, h long, g long, k0 long, k1 long, k2 long, k3 long"
 
 
@@ -66,19 +67,12 @@ class _Lines:
         self.signs = np.concatenate([[0], np.cumsum(lead)])
         self.at = np.append(np.flatnonzero(lead), len(data))
         self.size = self.signs[self.end] - self.signs[self.start]  # in characters
-        n = len(data)
-        with np.errstate(over="ignore"):
-            wide = data.astype(np.uint64) + np.uint64(1)
-            self.total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(wide * textvec.powers(_BASE, n + 1)[:n])])
-            self.total2 = np.concatenate([np.zeros(1, np.uint64), np.cumsum(wide * textvec.powers(_BASE2, n + 1)[:n])])
 
-    def hash(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        with np.errstate(over="ignore"):
-            return textvec.mix((self.total[end] - self.total[start]) * textvec.powers(_INVERSE, len(self.data) + 1)[start] + (end - start).astype(np.uint64))
+    def hash(self, start: np.ndarray, end: np.ndarray, seed: int = 0) -> np.ndarray:
+        return textvec.span_hashes(self.data, start, end, seed)
 
     def second(self) -> np.ndarray:
-        with np.errstate(over="ignore"):
-            return textvec.mix((self.total2[self.end] - self.total2[self.start]) * textvec.powers(_INVERSE2, len(self.data) + 1)[self.start])
+        return self.hash(self.start, self.end, SECOND)
 
     def halves(self) -> list[np.ndarray]:
         """Keys of the first and last half for a longer line of its own length, then for one of a character more."""
@@ -114,7 +108,7 @@ def _occurrences(docs: DataFrame, min_chars: int, halves: bool, exact_chars: int
             columns = [ids.take(pa.array(lines.doc)), pa.array(lines.number, pa.int32()), *(pa.array(x.view(np.int64), mask=alone if k > 1 else out) for k, x in enumerate(hashes))]
             yield pa.RecordBatch.from_arrays(columns, names=[x.split()[0] for x in names.split(", ")])
 
-    return written(docs.mapInArrow(scan, names), "line-places")
+    return written(docs.mapInArrow(scan, names).withColumn("row", F.monotonically_increasing_id()), "line-places")
 
 
 def _segments(n: np.ndarray, edits: int) -> Iterator[tuple[bool, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
@@ -155,12 +149,11 @@ def _keys(docs: DataFrame, min_chars: int, edits: int) -> DataFrame:
 
 def _sharing(keys: DataFrame) -> DataFrame:
     """(half_h): of the lines one of whose keys is another distinct line's segment, or one of whose segments is another's key, the hash without its lowest bit."""
-    row = keys.select("key", F.shiftright("h", 1).alias("half_h"), (F.col("h").bitwiseAND(F.lit(1)) == 1).alias("own"))
-    by = Window.partitionBy("key")
-    low, high = (f("half_h").over(by) for f in (F.min, F.max))
-    own_low, own_high = (f(F.when(F.col("own"), F.col("half_h"))).over(by) for f in (F.min, F.max))
-    seen = row.select("half_h", F.when(F.col("own"), low != high).otherwise((own_low != F.col("half_h")) | (own_high != F.col("half_h"))).alias("shared"))
-    return seen.where("shared").select("half_h").distinct()
+    row = written(keys.select("key", F.shiftright("h", 1).alias("half_h"), (F.col("h").bitwiseAND(F.lit(1)) == 1).alias("own")), "line-segments")
+    mine = F.when(F.col("own"), F.col("half_h"))
+    by_key = row.groupBy("key").agg(F.min("half_h").alias("low"), F.max("half_h").alias("high"), F.min(mine).alias("own_low"), F.max(mine).alias("own_high"))
+    met = row.join(by_key.where("low <> high and own_low is not null"), "key")
+    return met.where("own or own_low <> half_h or own_high <> half_h").select("half_h").distinct()
 
 
 def _sketched(edits: int):
@@ -179,11 +172,11 @@ def _sketched(edits: int):
                     held += len(texts[j])
                     j += 1
                 n = np.array([len(t) for t in texts[i:j]], np.int64)
-                code = np.frombuffer("".join(texts[i:j]).encode("utf-32-le"), np.uint32).astype(np.uint64) + np.uint64(1)
+                raw = np.frombuffer("".join(texts[i:j]).encode("utf-32-le"), np.uint8)
+                code = raw.view(np.uint32).astype(np.uint64) + np.uint64(1)
                 start = np.cumsum(n) - n
                 with np.errstate(over="ignore"):
-                    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(code * textvec.powers(_BASE, len(code) + 1)[: len(code)])])
-                    bits = [textvec.mix(code), textvec.mix(code[:-1] * np.uint64(_BASE2) + code[1:])]
+                    bits = [textvec.mix(code), textvec.mix(code[:-1] * np.uint64(SECOND) + code[1:])]
                     xor = [np.concatenate([np.zeros(1, np.uint64), np.bitwise_xor.accumulate(np.uint64(1) << (b >> np.uint64(58)))]) for b in bits]
                     one = xor[0][start + n] ^ xor[0][start]
                     two = np.where(n > 1, xor[1][np.maximum(start + n - 1, 0)] ^ xor[1][np.minimum(start, len(xor[1]) - 1)], np.uint64(0))
@@ -191,7 +184,7 @@ def _sketched(edits: int):
                 for own, some, tag, begin, size in _segments(n, edits):
                     first = start[some] + begin
                     with np.errstate(over="ignore"):
-                        key = textvec.mix(textvec.mix((total[first + size] - total[first]) * textvec.powers(_INVERSE, len(code) + 1)[first]) * np.uint64(7) + textvec.mix(tag))
+                        key = textvec.mix(textvec.span_hashes(raw, 4 * first, 4 * (first + size)) * np.uint64(7) + textvec.mix(tag))
                     columns = [places.take(pa.array(some)), pa.array(key.view(np.int64)), pa.array(np.full(len(some), own)), pa.array(one[some].view(np.int64)), pa.array(two[some].view(np.int64))]
                     yield pa.RecordBatch.from_arrays(columns, names=["place", "key", "own", "one", "two"])
                 i = j
@@ -199,20 +192,29 @@ def _sketched(edits: int):
     return scan
 
 
-def _texts(docs: DataFrame, min_chars: int, known: np.ndarray | None) -> DataFrame:
-    """(h, g, place, line) of the lines whose hash is known, or of all."""
-    sent = None if known is None else docs.sparkSession.sparkContext.broadcast(known)
+def _filter(left: DataFrame, bits: int) -> np.ndarray:
+    """2**bits bits, in 64-bit numbers, of which those of the lines' hashes are set."""
+    at = F.shiftrightunsigned("h", 64 - bits)
+    one = left.select(F.shiftrightunsigned(at, 6).cast("int").alias("word"), F.expr(f"shiftleft(1L, CAST(shiftrightunsigned(h, {64 - bits}) & 63 AS int))").alias("bit"))
+    got = one.groupBy("word").agg(F.bit_or("bit").alias("bits")).toPandas()
+    out = np.zeros(max(1, 1 << (bits - 6)), np.uint64)
+    out[got["word"].to_numpy(np.int64)] = got["bits"].to_numpy(np.int64).view(np.uint64)
+    return out
+
+
+def _texts(docs: DataFrame, min_chars: int, passing: np.ndarray) -> DataFrame:
+    """(h, g, place, line) of the lines that pass the filter."""
+    sent = docs.sparkSession.sparkContext.broadcast(passing)
+    bits = 6 + (len(passing).bit_length() - 1)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, lines in _each(batches):
-            h = lines.hash(lines.start, lines.end).view(np.int64)
-            stay = lines.size >= min_chars
-            if sent is not None:
-                at = np.minimum(np.searchsorted(sent.value, h), max(0, len(sent.value) - 1))
-                stay &= sent.value[at] == h if len(sent.value) else False
-            pick = np.flatnonzero(stay)
+            h = lines.hash(lines.start, lines.end)
+            at = h >> np.uint64(64 - bits)
+            pick = np.flatnonzero((lines.size >= min_chars) & ((sent.value[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1) > 0))
             text = [lines.data[a:b].tobytes().decode("utf-8") for a, b in zip(lines.start[pick], lines.end[pick])]
-            columns = [ids.take(pa.array(lines.doc[pick])), pa.array(lines.number[pick], pa.int32()), pa.array(h[pick]), pa.array(lines.second()[pick].view(np.int64)), pa.array(text, pa.string())]
+            second = lines.hash(lines.start[pick], lines.end[pick], SECOND)
+            columns = [ids.take(pa.array(lines.doc[pick])), pa.array(lines.number[pick], pa.int32()), pa.array(h[pick].view(np.int64)), pa.array(second.view(np.int64)), pa.array(text, pa.string())]
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "line_no", "h", "g", "line"])
 
     return docs.mapInArrow(scan, "doc_id long, line_no int, h long, g long, line string").select("h", "g", _place().alias("place"), "line")
@@ -223,6 +225,22 @@ def _place() -> Column:
     return F.struct(F.col("doc_id").isNull().alias("no"), F.col("doc_id").alias("d"), F.col("line_no").alias("l"))
 
 
+def _sums(code: np.ndarray, begin: np.ndarray, n: np.ndarray, line: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of each line, and of each line less one character, a hash of 62 bits: sums of powers modulo a prime by two bases, so that parts can be put together."""
+    whole, gone = np.zeros(len(n), np.uint64), np.zeros(len(code), np.uint64)
+    for shift, (base, inverse) in zip((np.uint64(0), np.uint64(31)), _BASES):
+        power = np.ones(max(1, int(n.max(initial=0))), np.uint64)
+        size = 1
+        while size < len(power):
+            power[size : 2 * size] = power[: min(size, len(power) - size)] * np.uint64(pow(base, size, int(_PRIME))) % _PRIME
+            size *= 2
+        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(code % _PRIME * power[at] % _PRIME)])
+        whole |= (total[begin + n] - total[begin]) % _PRIME << shift
+        after = (total[begin[line] + n[line]] - total[1:]) % _PRIME * np.uint64(inverse) % _PRIME
+        gone |= (total[:-1] - total[begin[line]] + after) % _PRIME << shift
+    return whole, gone
+
+
 def _variants(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(place, key, kind): of lines that a longer line may become (kind 0), their own key; of lines that may become a shorter one
     (kind 1), that of each variant with one character deleted; of lines with partners of their length (kind 2), that of each variant and its place.
@@ -245,10 +263,8 @@ def _variants(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             at = np.arange(len(code)) - begin[line]
             again = np.append(False, code[1:] == code[:-1]) & (at > 0)  # deleting either of two equal neighbours is the same
             with np.errstate(over="ignore"):
-                term = code * textvec.powers(_BASE, int(n.max(initial=0)) + 1)[at]
-                total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(term)])
-                gone = total[:-1] - total[begin[line]] + (total[begin[line] + n[line]] - total[1:]) * np.uint64(_INVERSE)
-                whole, size = total[begin + n] - total[begin], n.astype(np.uint64)
+                whole, gone = _sums(code, begin, n, line, at)
+                size = n.astype(np.uint64)
                 own = textvec.mix(whole * np.uint64(3) + textvec.mix(size))
                 deleted = textvec.mix(gone * np.uint64(3) + textvec.mix(size[line] - np.uint64(1)))
                 placed = textvec.mix(gone * np.uint64(5) + textvec.mix(at.astype(np.uint64) * np.uint64(2654435761) + size[line]) + np.uint64(1))
@@ -265,21 +281,22 @@ def _variants(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _partners(distinct: DataFrame) -> DataFrame:
     """(h, shorter, longer, equal): the lines that share a half with a line of a fitting length; flags say as which of a pair."""
     halved = distinct.where("k0 is not null").select("h", F.explode(F.array(*(F.struct(F.col(f"k{k}").alias("half"), F.lit(k > 1).alias("more")) for k in range(4)))).alias("x")).select("h", "x.half", "x.more")
-    by = Window.partitionBy("half")
-    least, most = (f(F.when(~F.col("more"), F.col("h"))).over(by) for f in (F.min, F.max))
-    seen = halved.select("h", "more", (least != most).alias("equal"), least.isNotNull().alias("full"), F.max("more").over(by).alias("less"))
-    flags = seen.select("h", (F.col("more") & F.col("full")).alias("shorter"), (~F.col("more") & F.col("less")).alias("longer"), (~F.col("more") & F.col("equal")).alias("equal"))
-    return flags.where("shorter or longer or equal").groupBy("h").agg(*(F.max(c).alias(c) for c in ("shorter", "longer", "equal")))
+    full = F.when(~F.col("more"), F.col("h"))
+    by_half = halved.groupBy("half").agg(F.min(full).alias("least"), F.max(full).alias("most"), F.max("more").alias("less"))
+    seen = halved.join(by_half.where("least is not null and (less or least <> most)"), "half")
+    flags = seen.select("h", F.col("more").alias("shorter"), (~F.col("more") & F.col("less")).alias("longer"), (~F.col("more") & (F.col("least") != F.col("most"))).alias("equal"))
+    return flags.groupBy("h").agg(*(F.max(c).alias(c) for c in ("shorter", "longer", "equal")))
 
 
 def _star_pairs(text: DataFrame) -> DataFrame:
     """(place, other): lines and earlier ones that may be one edit away, the earliest such of each group."""
-    keyed = text.mapInArrow(_variants, T.StructType([text.schema["place"], T.StructField("key", T.LongType()), T.StructField("kind", T.ByteType())]))
+    keyed = written(text.mapInArrow(_variants, T.StructType([text.schema["place"], T.StructField("key", T.LongType()), T.StructField("kind", T.ByteType())])), "line-variants")
     # Kind 0 meets kind 1, and kind 2 meets kind 2: the candidate is the earliest on the other side.
-    group = Window.partitionBy("key")
-    whole, deleted, placed = (F.min(F.when(F.col("kind") == k, F.col("place"))).over(group) for k in range(3))
-    offered = keyed.select("place", F.when(F.col("kind") == 0, deleted).when(F.col("kind") == 1, whole).otherwise(placed).alias("other")).where("other < place")
-    return offered.groupBy("place").agg(F.collect_set("other").alias("others")).select("place", F.explode("others").alias("other"))
+    of = lambda f, k: f(F.when(F.col("kind") == k, F.col("place")))
+    by_key = keyed.groupBy("key").agg(of(F.min, 0).alias("whole"), of(F.min, 1).alias("deleted"), of(F.min, 2).alias("placed"), of(F.max, 2).alias("last"))
+    met = keyed.join(by_key.where("(whole is not null and deleted is not null) or placed <> last"), "key")
+    offered = met.select("place", F.when(F.col("kind") == 0, F.col("deleted")).when(F.col("kind") == 1, F.col("whole")).otherwise(F.col("placed")).alias("other")).where("other < place")
+    return offered.distinct()
 
 
 def _segment_pairs(text: DataFrame, edits: int) -> DataFrame:
@@ -292,37 +309,36 @@ def _segment_pairs(text: DataFrame, edits: int) -> DataFrame:
     return met.select(F.greatest("place", "p").alias("place"), F.least("place", "p").alias("other")).distinct()
 
 
-def find_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 12, edits: int = 1, exact_chars: int | None = None) -> DataFrame:
+def find_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 12, edits: int = 1, exact_chars: int | None = None, filter_bits: int = 26) -> DataFrame:
     """(doc_id, line_no, first_doc_id, first_line_no, keep) for every line: the place of the earliest line within `edits` edits, its own if it is that."""
-    if edits < 1:
-        raise ValueError("edits must be 1 or more")
+    if edits < 1 or not 6 <= filter_bits <= 32:
+        raise ValueError("edits must be 1 or more, filter_bits 6 to 32")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     halves = edits == 1
     places = _occurrences(rows, min_chars, halves, min_chars if exact_chars is None else min(exact_chars, min_chars))
     part = places.where("h is not null")
-    collapsed = part.groupBy("h", "g").agg(F.min(_place()).alias("place"), *(F.first(f"k{k}").alias(f"k{k}") for k in range(4 * halves)))
-    distinct = written(collapsed, "line-distinct")
+    # Rows that repeat have the same places; the row tells which of them is the first.
+    rowed = F.struct(F.col("doc_id").isNull().alias("no"), F.col("doc_id").alias("d"), F.col("line_no").alias("l"), F.col("row").alias("r"))
+    collapsed = part.groupBy("h", "g").agg(F.min(rowed).alias("at"), *(F.first(f"k{k}").alias(f"k{k}") for k in range(4 * halves)))
+    place = F.struct(F.col("at.no").alias("no"), F.col("at.d").alias("d"), F.col("at.l").alias("l"))
+    distinct = written(collapsed.withColumns({"place": place, "row": F.col("at.r")}).drop("at"), "line-distinct")
     if halves:
         left = distinct.select("h", "g", "place").join(_partners(distinct), "h")
     else:
         sharing = written(_sharing(_keys(rows, min_chars, edits)), "line-sharing")
-        left = distinct.join(sharing, F.shiftright("h", 1) == F.col("half_h")).drop("half_h")
+        left = distinct.select("h", "g", "place").join(sharing, F.shiftright("h", 1) == F.col("half_h")).drop("half_h")
     left = written(left, "line-candidates")
-    known = None
-    if left.count() <= KNOWN:
-        known = np.unique(left.select("h").toPandas()["h"].to_numpy(np.int64))
-    text = _texts(rows, min_chars, known).join(left, ["h", "g", "place"]).dropDuplicates(["h", "g"])
+    text = _texts(rows, min_chars, _filter(left, filter_bits)).join(left, ["h", "g", "place"]).dropDuplicates(["h", "g"])
     text = written(text, "line-left")
     pairs = _star_pairs(text) if edits == 1 else _segment_pairs(text, edits)
     theirs = text.select(F.col("place").alias("other"), F.col("line").alias("other_line"))
     close = pairs.join(text.select("h", "g", "place", "line"), "place").join(theirs, "other").where(F.levenshtein("line", "other_line", edits) >= 0)
     close = close.groupBy("h", "g").agg(F.min("other").alias("other"))
-    fate = distinct.select("h", "g", "place").join(close, ["h", "g"], "left").select("h", "g", F.least("place", "other").alias("first"))
-    # The lines' places are joined with the fates by shuffle at every size, for both grow with the lines.
-    joined = part.select("doc_id", "line_no", "h", "g").join(fate.hint("merge"), ["h", "g"])
-    own = F.col("doc_id").eqNullSafe(F.col("first.d")) & (F.col("line_no") == F.col("first.l"))
-    # Rows that repeat have the same places; of them one stays.
-    once = F.row_number().over(Window.partitionBy("h", "g", "doc_id", "line_no").orderBy("line_no")) == 1
-    kept = joined.select("doc_id", "line_no", F.col("first.d").alias("first_doc_id"), F.col("first.l").alias("first_line_no"), (own & once).alias("keep"))
+    nearer = F.coalesce(F.col("other") < F.col("place"), F.lit(False))
+    fate = distinct.select("h", "g", "place", "row").join(close, ["h", "g"], "left")
+    fate = fate.select("h", "g", F.when(nearer, F.col("other")).otherwise(F.col("place")).alias("first"), F.when(~nearer, F.col("row")).alias("keeper"))
+    # The lines' places are joined with the fates by shuffle at every size, for both grow with the lines; nothing follows, so a hot line can be split.
+    joined = part.select("doc_id", "line_no", "h", "g", "row").join(fate.hint("merge"), ["h", "g"])
+    kept = joined.select("doc_id", "line_no", F.col("first.d").alias("first_doc_id"), F.col("first.l").alias("first_line_no"), F.coalesce(F.col("row") == F.col("keeper"), F.lit(False)).alias("keep"))
     short = places.where("h is null").select("doc_id", "line_no", F.col("doc_id").alias("first_doc_id"), F.col("line_no").alias("first_line_no"), F.lit(True).alias("keep"))
     return kept.union(short)
