@@ -5,15 +5,17 @@ coordinates and is filled in rounds: in round i < t each element is thrown into
 every element is thrown into bin j, and a bin keeps the least (round, hash); a document stops after the round in which its last
 bin fills, so every coordinate is filled after 2 t rounds at the latest, and long documents need one or two. Bands of
 `rows` coordinates are the candidates' keys: each key links its documents to the least of them, linear in the number of documents however
-many share the key. Connected components of these links (large-star, small-star) bring each candidate group into one
-task with its texts, where the exact Jaccard similarities decide. Nothing is capped: inside a group the documents near
-a popular pivot are joined first, then prefix filtering, which loses no pair, finds the remaining ones.
+many share the key. Two hashes of 64 bits stand for a text, so equal texts are one node from the start, and a group of copies of
+any size is one text in what follows. Connected components of the links (large-star, small-star) bring each candidate group into one
+task, each text of it once, where the exact Jaccard similarities decide. Nothing is capped: inside a group the documents near
+a popular pivot are joined first, then prefix filtering, which loses no pair, finds the remaining ones. Least members are aggregated, then joined,
+never sorted in a window, so that adaptive execution can split a hot key. A candidate group's different texts have to fit into one task.
 
 The result: documents of Jaccard similarity `threshold` or more are joined, and of each connected group the least id
 stays. With 40 bands of 4 rows a pair at 0.5 is found with probability 0.92, at 0.6 0.996, before links through others.
 
 Defined results: a null text and a text without words are near nothing and stay. A null id counts as the greatest. Rows that
-repeat id and text are near copies of one another, and one stays. Other columns take no part and are returned as they are. An
+repeat id and text are near copies of one another, and one stays. Texts of any length are taken whole; a pair just at the threshold is joined; ids are whole numbers. Other columns take no part and are returned as they are. An
 empty table gives an empty result.
 """
 
@@ -73,10 +75,11 @@ def band_keys(sketches: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> np.
 def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         data, offs = textvec.utf8(batch.column("__text"))
-        node = batch.column("__node").to_numpy(zero_copy_only=False)
+        node = batch.column("__h").to_numpy(zero_copy_only=False)
         for i, j in textvec.pieces(offs):
             element, first = shingles(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i])
             has = np.flatnonzero(np.diff(first))
+            has = has[np.unique(node[i:j][has], return_index=True)[1]]  # copies in this piece have the same keys
             if len(has):
                 keys = band_keys(sketch(element, first, BANDS * ROWS)[has])
                 yield pa.RecordBatch.from_arrays([pa.array(np.repeat(node[i:j][has], BANDS)), pa.array(keys.ravel().view(np.int64))], names=["node", "key"])
@@ -86,11 +89,11 @@ def connected(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of the (u, v) edges, the root being the least node of its component."""
     state = None
     while True:
-        both = edges.select("u", "v").union(edges.select(F.col("v"), F.col("u")))
-        least = F.least("u", F.min("v").over(Window.partitionBy("u")))
-        edges = both.select("u", "v", least.alias("m")).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-        starred = down.select("u", "v", F.min("v").over(Window.partitionBy("u")).alias("m"))
+        both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        edges = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        down = written(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")), "near-down")
+        starred = down.join(down.groupBy("u").agg(F.min("v").alias("m")), "u")
         edges = written(starred.select("v", "m").union(starred.select("u", "m")).where("v <> m").distinct().toDF("u", "v"), "near-edges")
         now = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)")).alias("s")).first()
         if state == now:
@@ -181,11 +184,18 @@ def _link(sets: list[np.ndarray], name: list[int], joined: _Joined, threshold: f
 
 
 def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
-    """The rows of each root in turn; batches may cut through them."""
+    """The rows of each root in turn, each text once; batches may cut through them."""
     held: list[pa.RecordBatch] = []
-    root = None
+    root, last = None, None
     for batch in batches:
-        roots = batch.column("__root").to_numpy(zero_copy_only=False)
+        if not batch.num_rows:
+            continue
+        roots, h, g = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("__root", "__h", "__g"))
+        again = np.zeros(len(roots), bool)
+        again[1:] = (h[1:] == h[:-1]) & (g[1:] == g[:-1]) & (roots[1:] == roots[:-1])
+        again[0] = last == (roots[0], h[0], g[0])
+        last = (roots[-1], h[-1], g[-1])
+        batch, roots = batch.filter(pa.array(~again)), roots[~again]
         cut = [0, *(np.flatnonzero(roots[1:] != roots[:-1]) + 1).tolist(), len(roots)]
         for i, j in zip(cut[:-1], cut[1:]):
             if i == j:
@@ -209,64 +219,64 @@ def _labels(table: pa.Table, threshold: float) -> list[int]:
 
 
 def _prepared(docs: DataFrame, id_col: str, text_col: str, whole: bool) -> DataFrame:
+    """Id, text and its two hashes; __worded: whether it has a word."""
     row = [F.struct("*").alias("__row")] if whole else []
     plain = docs.select(*row, F.col(id_col).cast("long").alias("__id"), F.col(text_col).cast("string").alias("__text"))
-    return plain.withColumn("__node", F.xxhash64("__id", "__text"))
-
-
-def _roots(nodes: DataFrame) -> DataFrame:
-    keys = nodes.select("__node", "__text").mapInArrow(_keys, "node long, key long")
-    linked = keys.select("node", F.min("node").over(Window.partitionBy("key")).alias("least")).where("node <> least").distinct()
-    edges = written(linked.toDF("u", "v"), "near-links")
-    # Joined by shuffle at every size: the roots grow with the documents, so no broadcast of them would last.
-    return written(connected(edges).toDF("__node", "__root"), "near-roots").hint("merge")
-
-
-def _sorted(rows: DataFrame) -> DataFrame:
-    return rows.repartition("__root").sortWithinPartitions("__root", F.col("__id").asc_nulls_last())
-
-
-def find_near(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """(doc_id, group_id, keep) for each row of docs: the group's id is the least of it."""
-    nodes = _prepared(docs, id_col, text_col, False)
-    roots = _roots(nodes)
+    worded = F.coalesce(F.col("__text").rlike("[0-9A-Za-z_]|[^\\x00-\\x7f]"), F.lit(False))
+    return plain.withColumns({"__h": F.xxhash64("__text"), "__g": F.xxhash64(F.lit(17), "__text"), "__worded": worded})
+
+
+def _members(plain: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """(__id, __h, __g, __worded, __r) of every row, and of each text with words (__h, __g, __keeper, __first, __group, __rep).
+
+    __keeper is the least id that has the text, __first the __r of its first row, __group the id of its class and __rep whether the text is the one that stays.
+    """
+    light = written(plain.select("__id", "__h", "__g", "__worded").withColumn("__r", F.monotonically_increasing_id()), "near-rows")
+    first = F.min(F.struct(F.col("__id").isNull().alias("no"), F.col("__id").alias("id"), F.col("__r").alias("r")))
+    texts = light.where("__worded").groupBy("__h", "__g").agg(first.alias("f"))
+    texts = written(texts.select("__h", "__g", F.col("f.id").alias("__keeper"), F.col("f.r").alias("__first")), "near-texts")
+    keys = written(plain.where("__worded").select("__h", "__text").mapInArrow(_keys, "node long, key long"), "near-keys")
+    by_key = keys.groupBy("key").agg(F.min("node").alias("least"), F.max("node").alias("most")).where("least < most")
+    edges = written(keys.join(by_key, "key").where("node <> least").select(F.col("node").alias("u"), F.col("least").alias("v")).distinct(), "near-links")
+    roots = written(connected(edges).toDF("__h", "__root"), "near-roots")
+    # Joined by shuffle at every size, for the roots grow with the documents; by id too, so that copies of a text spread.
+    chosen = written(texts.join(roots.hint("merge"), "__h"), "near-chosen")
+    mine = plain.where("__worded").select("__id", "__h", "__g", "__text").alias("d")
+    same = F.col("d.__id").eqNullSafe(F.col("c.__keeper")) & (F.col("d.__h") == F.col("c.__h")) & (F.col("d.__g") == F.col("c.__g"))
+    met = mine.join(chosen.alias("c").hint("merge"), same).select("__root", "__id", "d.__h", "d.__g", "__text")
+    met = met.repartition("__root").sortWithinPartitions("__root", F.col("__id").asc_nulls_last(), "__h", "__g")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in _groups(batches):
             label = np.array(_labels(table, threshold))
             ids = table.column("__id").combine_chunks()
-            yield pa.RecordBatch.from_arrays([ids, ids.take(pa.array(label)), pa.array(label == np.arange(len(label)))], names=["doc_id", "group_id", "keep"])
+            columns = [table.column("__h").combine_chunks(), table.column("__g").combine_chunks(), ids.take(pa.array(label)), pa.array(label == np.arange(len(label)))]
+            yield pa.RecordBatch.from_arrays(columns, names=["__h", "__g", "__group", "__rep"])
 
-    checked = _sorted(nodes.join(roots, "__node")).select("__root", "__id", "__text").mapInArrow(verify, "doc_id long, group_id long, keep boolean")
-    # A row that repeats id and text has the same node; its words, where it has any, decide that one stays.
-    alone = nodes.join(roots, "__node", "left_anti")
-    first = F.row_number().over(Window.partitionBy("__node").orderBy(F.col("__id").asc_nulls_last())) == 1
-    worded = F.coalesce(F.col("__text").rlike("[0-9A-Za-z_]|[^\\x00-\\x7f]"), F.lit(False))
-    rest = alone.select("__node", "__id", worded.alias("w")).select(F.col("__id").alias("doc_id"), F.col("__id").alias("group_id"), (first | ~F.col("w")).alias("keep"))
-    return checked.union(rest)
+    classes = written(met.mapInArrow(verify, "__h long, __g long, __group long, __rep boolean"), "near-classes")
+    joined = texts.join(classes.hint("merge"), ["__h", "__g"], "left")
+    # A text without candidates is a class of its own.
+    members = joined.withColumns({"__group": F.when(F.col("__rep").isNull(), F.col("__keeper")).otherwise(F.col("__group")), "__rep": F.coalesce("__rep", F.lit(True))})
+    return light, written(members, "near-members")
 
 
-def drop_near(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """docs with one document of each group, all columns kept."""
-    nodes = _prepared(docs, id_col, text_col, True)
-    roots = _roots(nodes.drop("__row"))
-    names, text_at = docs.columns, docs.columns.index(text_col)
+def find_near(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """(doc_id, group_id, keep) for each row of docs: the group's id is the least of it."""
+    light, members = _members(_prepared(docs, id_col, text_col, False), threshold)
+    rows = light.where("__worded").join(members.hint("merge"), ["__h", "__g"])
+    stays = F.col("__rep") & (F.col("__r") == F.col("__first"))
+    alone = light.where("not __worded").select(F.col("__id").alias("doc_id"), F.col("__id").alias("group_id"), F.lit(True).alias("keep"))
+    return rows.select(F.col("__id").alias("doc_id"), F.col("__group").alias("group_id"), stays.alias("keep")).union(alone)
 
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def opened() -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                yield pa.RecordBatch.from_arrays([b.column("__root"), b.column("__row"), b.column("__row").field(text_at).cast(pa.string())], names=["__root", "__row", "__text"])
 
-        for table in _groups(opened()):
-            label = np.array(_labels(table, threshold))
-            row = table.column("__row").combine_chunks()
-            row = row.filter(pa.array(label == np.arange(len(label))))
-            yield pa.RecordBatch.from_arrays(row.flatten(), names=names)
-
-    joined = nodes.drop("__text").join(roots, "__node", "left")
-    checked = _sorted(joined.where("__root is not null")).select("__root", "__row").mapInArrow(verify, docs.schema)
-    alone = joined.where("__root is null")
-    worded = F.coalesce(F.col(f"__row.`{text_col}`").cast("string").rlike("[0-9A-Za-z_]|[^\\x00-\\x7f]"), F.lit(False))
-    first = F.row_number().over(Window.partitionBy("__node").orderBy(F.col("__id").asc_nulls_last())) == 1
-    rest = alone.select("__row", worded.alias("w"), first.alias("first")).where("first or not w").select("__row.*")
-    return checked.union(rest)
+def drop_near(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """docs with one document of each group, all columns kept."""
+    plain = _prepared(docs, id_col, text_col, True)
+    _, members = _members(plain.drop("__row"), threshold)
+    keepers = members.where("__rep").select(F.col("__h").alias("__kh"), F.col("__g").alias("__kg"), "__keeper")
+    same = F.col("__id").eqNullSafe(F.col("__keeper")) & (F.col("__h") == F.col("__kh")) & (F.col("__g") == F.col("__kg"))
+    met = plain.where("__worded").select("__row", "__id", "__h", "__g").join(keepers.hint("merge"), same)
+    # Rows that repeat id and text are all met; one stays.
+    once = F.row_number().over(Window.partitionBy("__id", "__h", "__g").orderBy("__id"))
+    kept = met.withColumn("__n", once).where("__n = 1").select("__row.*")
+    return kept.union(plain.where("not __worded").select("__row.*"))
