@@ -58,3 +58,15 @@ def test_empty_and_bad_parameters(spark):
     assert packing.pack_documents(docs).count() == 0
     with pytest.raises(ValueError):
         packing.pack_documents(docs, capacity=0)
+
+
+def test_great_ids_beside_null_and_a_text_of_many_bins(spark):
+    """Which document got which place, against the plain packing of the group."""
+    rows = [(9007199254740993, "x" * 50), (9007199254740995, "x" * 50), (None, "y" * 50), (-(2**63), "z" * 12_345), (2**63 - 1, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = packing.pack_documents(docs, capacity=100).collect()
+    assert sorted({r.doc_id for r in got if r.doc_id is not None}) == sorted(k for k, _ in rows if k is not None)
+    pieces = [(min(100, len(t) + 1 - 100 * p), k is None, k or 0, p) for k, t in rows for p in range(-(-(len(t) + 1) // 100))]
+    pieces.sort(key=lambda x: (-x[0], *x[1:]))
+    want = {(None if none else k, p): place for (_, none, k, p), place in zip(pieces, naive([x[0] for x in pieces], 100))}
+    assert {(r.doc_id, r.part): (r.bin_id, r.bin_offset) for r in got} == want

@@ -121,3 +121,57 @@ def test_pieces_of_the_dictionaries_are_bounded_by_a_parameter(tables):
     few, many = (quality_classifier.train(*tables, pieces_per_class=n) for n in (1, 300))
     for c in (0, 1):
         assert len(few[c]) <= quality_classifier.PIECE < len(many[c])
+
+
+def test_classifier_is_its_parts_put_together(spark):
+    """op5 against zstandard and a logistic function, text by text."""
+    import math
+    import zstandard
+
+    rng = random.Random(8)
+    good = [" ".join(rng.choice("the river ran along a quiet old field where people walked".split()) for _ in range(60)) for _ in range(60)]
+    bad = [" ".join(rng.choice("CLICK buy now!!! $$$ free win cash prize xxx".split()) for _ in range(60)) for _ in range(60)]
+    rows = list(enumerate(good + bad)) + [(500, None), (501, ""), (502, " \n\t "), (503, "é" * 70_000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i < 60)) for i in range(120)], "doc_id long, quality int")
+    model = quality_classifier.train(docs, labels)
+    got = {r.row.doc_id: r for r in quality_classifier.classify(docs, model).collect()}
+
+    def size(raw, words):
+        kept = zstandard.ZstdCompressionDict(words)
+        kept.precompute_compress(level=1)
+        one = zstandard.ZstdCompressor(level=1, dict_data=kept, write_content_size=False, write_checksum=False, write_dict_id=False)
+        return sum(len(one.compress(raw[i : i + 1024])) for i in range(0, len(raw), 1024))
+
+    for key, text in rows:
+        r = got[key]
+        if text is None or not text.strip():
+            assert r.score is None and not r.keep
+            continue
+        raw = text.encode()
+        x, y = size(raw, model[0]), size(raw, model[1])
+        d, ratio = (x - y) / (max(x, y) + 192), math.log((x + 192) / (len(raw) + 192))
+        p = 1 / (1 + math.exp(-(model[2][0] * d + model[2][1] * ratio + model[2][2])))
+        assert (r.size_difference, r.score, r.keep) == (pytest.approx(d), pytest.approx(p), p >= quality_classifier.THRESHOLD)
+    assert all(got[i].keep == (i < 60) for i in range(120))
+
+
+def test_rules_are_their_parts_put_together(spark):
+    """op4: every document's score from its own n-grams, counted one by one."""
+    import math
+
+    rng = random.Random(9)
+    rows = [(i, " ".join(rng.choice(("the river ran along a quiet field" if i % 2 else "CLICK buy now free win cash").split()) for _ in range(40))) for i in range(160)] + [(500, None), (501, " "), (502, "word " * 20_000)]
+    docs = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, row string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(160)], "doc_id long, quality int")
+    weights, (slope, offset) = quality_rules.train(docs, labels)
+    got = {r.row.doc_id: r for r in quality_rules.apply_rules(docs, (weights, [slope, offset])).collect()}
+    for key, text in rows:
+        if text is None or not text.strip():
+            assert got[key].score is None and not got[key].keep
+            continue
+        data = np.frombuffer(text.encode(), np.uint8)
+        total = sum(sum(float(weights[p]) for p in place.tolist()) / (quality_rules.NEUTRAL + len(place)) for place, _ in quality_rules.grams(data, np.array([0, len(data)])))
+        p = 1 / (1 + math.exp(-(slope * total + offset)))
+        assert got[key].score == pytest.approx(p, rel=1e-6) and got[key].keep == (p >= quality_rules.THRESHOLD)
+    assert all(got[i].keep == bool(i % 2) for i in range(160))

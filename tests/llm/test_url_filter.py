@@ -67,3 +67,37 @@ def test_edges(spark):
     out = url_filter.filter_urls(mine, labels.limit(0)).toPandas()
     assert out.bad_score.isna().all() and out.keep.sum() == 4
     assert url_filter.filter_urls(mine.limit(0), labels).count() == 0
+
+
+def test_first_split_is_the_best_of_all():
+    """A tree of depth 1 against every split of every feature."""
+    rng = np.random.default_rng(4)
+    x = rng.integers(0, 12, (60, 3)).astype(float)
+    y = (x[:, 1] > 6).astype(float)
+    y[:6] = 1 - y[:6]
+    (feature, cut, value), = Trees.fit(x, y, rounds=1, depth=1).trees
+    p = y.mean()
+    slope, bend = p - y, np.full(len(y), p * (1 - p))
+
+    def gain(j, c):
+        left = x[:, j] <= c
+        g = [slope[left].sum(), slope[~left].sum()]
+        h = [bend[left].sum(), bend[~left].sum()]
+        return sum(a * a / (b + 1) for a, b in zip(g, h)) if min(h) >= 2 else -1
+
+    best = max((gain(j, c), j, c) for j in range(3) for c in np.unique(x[:, j]))
+    assert (feature[0], gain(feature[0], cut[0])) == (best[1], pytest.approx(best[0]))
+    left = x[:, feature[0]] <= cut[0]
+    for node, own in ((1, left), (2, ~left)):
+        assert value[node] == pytest.approx(-0.1 * slope[own].sum() / (bend[own].sum() + 1))
+
+
+def test_hot_suffix_and_plain_counts(spark):
+    rows = [(i, f"http://h{i % 7}.hot.com/en/{i}") for i in range(300)] + [(i, f"http://x.rare{i}.org/") for i in range(300, 320)] + [(400, None), (401, "")]
+    pages = spark.createDataFrame(rows, "page_id long, url string").repartition(3)
+    labels = spark.createDataFrame([(i, i % 2) for i in range(100)], "doc_id long, quality int")
+    got = {r.page_id: r.x for r in url_filter._featured(pages, labels, "page_id", "url").collect()}
+    assert len(got) == len(rows)
+    at = [url_filter.FEATURES.index(f) for f in ("suffix_urls", "suffix_hosts")]
+    assert got[5][at[0]] == pytest.approx(math.log1p(300)) and got[5][at[1]] == pytest.approx(math.log1p(7))
+    assert got[310][at[0]] == pytest.approx(math.log1p(1)) and got[400][at[0]] == 0
