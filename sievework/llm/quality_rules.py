@@ -95,15 +95,20 @@ def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def fit(places: list[np.ndarray], values: list[np.ndarray], good: np.ndarray, rounds: int = 150, rate: float = 0.5, ridge: float = 1e-6) -> np.ndarray:
     """Logistic regression by full gradients with Adam's steps; both classes weigh the same."""
-    at, x = np.concatenate(places), np.concatenate(values).astype(np.float64)
-    row = np.repeat(np.arange(len(places)), [len(p) for p in places])
-    used, at = np.unique(at, return_inverse=True)
+    lens = np.array([len(p) for p in places])
+    at, x = np.concatenate(places), np.concatenate(values)
+    used = np.flatnonzero(np.bincount(at, minlength=SPACE))
+    number = np.zeros(SPACE, np.int32)
+    number[used] = np.arange(len(used))
+    at = number[at]
+    cut = np.concatenate([[0], np.cumsum(lens)])
     weight = np.where(good, 0.5 / max(1, good.sum()), 0.5 / max(1, (~good).sum()))
     w, bias, m, v = np.zeros(len(used)), 0.0, np.zeros(len(used) + 1), np.zeros(len(used) + 1)
     for t in range(1, rounds + 1):
-        p = labelled.sigmoid(np.bincount(row, x * w[at], len(places)) + bias)
+        total = np.concatenate([[0.0], np.cumsum(x * w[at])])
+        p = labelled.sigmoid(total[cut[1:]] - total[cut[:-1]] + bias)
         slope = weight * (p - good)
-        g = np.append(np.bincount(at, x * slope[row], len(used)) + ridge * w, slope.sum())
+        g = np.append(np.bincount(at, x * np.repeat(slope, lens), len(used)) + ridge * w, slope.sum())
         m = 0.9 * m + 0.1 * g
         v = 0.99 * v + 0.01 * g * g
         step = rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-6)
@@ -117,16 +122,20 @@ def fit(places: list[np.ndarray], values: list[np.ndarray], good: np.ndarray, ro
 def train(documents: DataFrame, labels: DataFrame, *, per_class: int = 1500, seed: int = 23, id_col: str = "doc_id", text_col: str = "text") -> tuple[np.ndarray, list[float]] | None:
     """Weights and calibration; None without rows of both classes in both folds."""
     rows = labelled.sample(documents, labels, per_class, seed, id_col=id_col, text_col=text_col)
-    got = rows.mapInArrow(_vectors, "id long, good int, fold int, places binary, values binary").toPandas().sort_values(["id", "places"])
-    good, fold = got["good"].to_numpy() == 1, got["fold"].to_numpy()
-    places = [np.frombuffer(b, np.int32) for b in got["places"]]
-    values = [np.frombuffer(b, np.float32) for b in got["values"]]
-    a, b = np.flatnonzero(fold == 0), np.flatnonzero(fold == 1)
-    if not len(a) or good[a].all() or not good[a].any():
+    # Only the half that is fitted comes to the driver; the other is scored where it is.
+    got = rows.where("fold = 0").mapInArrow(_vectors, "id long, good int, fold int, places binary, values binary").toPandas().sort_values(["id", "places"])
+    good = got["good"].to_numpy() == 1
+    if not len(good) or good.all() or not good.any():
         return None
-    weights = fit([places[i] for i in a], [values[i] for i in a], good[a])
-    held = np.array([float(weights[places[i]] @ values[i]) for i in b])
-    calibration = labelled.fit_logistic(held[:, None], good[b], ridge=1e-6)
+    weights = fit([np.frombuffer(b, np.int32) for b in got["places"]], [np.frombuffer(b, np.float32) for b in got["values"]], good)
+    del got
+
+    def held_scores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column("good"), pa.array(raw_scores(*textvec.utf8(batch.column("text")), weights))], names=["good", "score"])
+
+    held = rows.where("fold = 1").mapInArrow(held_scores, "good int, score double").toPandas().sort_values(["score", "good"])
+    calibration = labelled.fit_logistic(held[["score"]].to_numpy(), held["good"].to_numpy() == 1, ridge=1e-6)
     return None if calibration is None else (weights, calibration.tolist())
 
 
