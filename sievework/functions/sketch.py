@@ -50,9 +50,14 @@ def _simhash_words(words: pd.Series) -> pd.Series:
     return pd.Series([None if x is None else _vote([hashlib.sha256(g.encode()).digest()[:8] for g in _grams(list(x))]) for x in words], dtype="Int64")
 
 
+def simhash_words(text: str) -> Column:
+    """The signature by SHA-256, of the words that the JVM finds."""
+    return _simhash_words(t.words(F.col(text)))
+
+
 def simhash_sha(rows: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, signature) by SHA-256, of the words that the JVM finds; nothing is shuffled."""
-    return rows.select(key, _simhash_words(t.words(F.col(text))).alias("signature"))
+    """(key, signature) by SHA-256; nothing is shuffled."""
+    return rows.select(key, simhash_words(text).alias("signature"))
 
 
 def hamming(a: Column, b: Column) -> Column:

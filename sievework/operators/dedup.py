@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sievework.functions import sketch
@@ -32,11 +32,16 @@ def first_copies(documents: DataFrame, *, order: str = "ord", text: str = "text"
 
 def signatures(documents: DataFrame, *, order: str = "ord", text: str = "text", hashing: str = "blake2b") -> DataFrame:
     """(order, norm_hash, signature)."""
+    return documents.select(order, *_signed(text, hashing))
+
+
+def _signed(text: str, hashing: str) -> list[Column]:
+    """norm_hash and signature of a text column."""
     if hashing == "blake2b":
-        return documents.select(order, t.normalized_hash(F.col(text), "python").alias("norm_hash"), sketch.simhash_blake2b(text).alias("signature"))
+        return [t.normalized_hash(F.col(text), "python").alias("norm_hash"), sketch.simhash_blake2b(text).alias("signature")]
     if hashing != "sha":
         raise ValueError("hashing is blake2b or sha")
-    return documents.select(order, t.normalized_hash(F.col(text)).alias("norm_hash")).join(sketch.simhash_sha(documents, order, text), order)
+    return [t.normalized_hash(F.col(text)).alias("norm_hash"), sketch.simhash_words(text).alias("signature")]
 
 
 def near_signatures(signature: DataFrame, distance: int, bands: int = BANDS, against: DataFrame | None = None) -> DataFrame:
@@ -46,9 +51,12 @@ def near_signatures(signature: DataFrame, distance: int, bands: int = BANDS, aga
     """
 
     def banded(df: DataFrame, name: str) -> DataFrame:
-        return df.select(F.col("signature").alias(name)).distinct().select(name, F.posexplode(sketch.bands(F.col(name), bands)).alias("band", "value"))
+        # Written first: the signatures are a UDF's, which each side, and the pruning of nulls, would run again.
+        own = written(df.select("signature").distinct(), "signatures")
+        return own.select(F.col("signature").alias(name)).select(name, F.posexplode(sketch.bands(F.col(name), bands)).alias("band", "value"))
 
-    left, right = banded(signature, "a"), banded(signature if against is None else against, "b")
+    left = banded(signature, "a")
+    right = left.withColumnRenamed("a", "b") if against is None else banded(against, "b")
     pairs = left.join(right, ["band", "value"])
     if against is None:
         pairs = pairs.where("a < b")
@@ -120,11 +128,11 @@ def signature_index(admitted: DataFrame) -> tuple[DataFrame, DataFrame]:
 def contamination(fixtures: DataFrame, training: DataFrame, distance: int = 3, hashing: str = "blake2b") -> DataFrame:
     """One row: sorted ids of fixtures (id, prompt, reference) whose prompt or reference the training texts (ord, text) hold, exactly or nearly, and whether there are none."""
     parts = fixtures.select("id", F.explode(F.array("prompt", "reference")).alias("text")).where("text is not null")
-    hashes = training.select(t.evaluation_hash(F.col("text")).alias("h")).distinct()
-    exact = parts.withColumn("h", t.evaluation_hash(F.col("text"))).join(hashes, "h", "left_semi").select("id").distinct().withColumn("kind", F.lit("exact"))
-    numbered = parts.withColumn("ord", F.xxhash64("id", "text")).dropDuplicates(["ord"])
-    signed = signatures(numbered, hashing=hashing).join(numbered.select("ord", "id"), "ord")
-    pairs = near_signatures(signed, distance, distance + 1, signatures(training, hashing=hashing))
+    # One pass over the training texts.
+    seen = written(training.select(t.evaluation_hash(F.col("text")).alias("h"), _signed("text", hashing)[1]).distinct(), "training-signed")
+    signed = written(parts.select("id", t.evaluation_hash(F.col("text")).alias("h"), _signed("text", hashing)[1]), "fixtures-signed")
+    exact = signed.join(seen.select("h"), "h", "left_semi").select("id").distinct().withColumn("kind", F.lit("exact"))
+    pairs = near_signatures(signed, distance, distance + 1, seen)
     near = signed.join(pairs.select(F.col("a").alias("signature")).distinct(), "signature", "left_semi").select("id").distinct().withColumn("kind", F.lit("near"))
     ids = lambda kind: F.array_sort(F.collect_set(F.when(F.col("kind") == kind, F.col("id"))))
     return exact.union(near).agg(ids("exact").alias("exact_ids"), ids("near").alias("near_ids")).withColumn("clean", (F.size("exact_ids") == 0) & (F.size("near_ids") == 0))
@@ -136,9 +144,4 @@ def require_uncontaminated(fixtures: DataFrame, training: DataFrame) -> None:
     parts = fixtures.select("id", F.explode(F.array("prompt", "reference")).alias("text"))
     found = parts.join(hashes, t.evaluation_hash(F.col("text")) == F.col("h"), "left_semi").agg(F.array_sort(F.collect_set("id")).alias("ids")).first()["ids"]
     if found:
-        raise ValueError(f"the training data hold fixtures: {', '.join(found)}")
-
-
-def first_by(rows: DataFrame, key: list[str], order: str) -> DataFrame:
-    """The first row of each key in the order."""
-    return rows.withColumn("__n", F.row_number().over(Window.partitionBy(*key).orderBy(order))).where("__n = 1").drop("__n")
+        raise ValueError(f"the training data hold fixtures: {', '.join(map(str, found))}")

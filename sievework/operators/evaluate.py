@@ -50,13 +50,15 @@ def run_trusted(source: str, tests: str, *, trusted: bool = False, seconds: floa
 def score_fixtures(fixtures: DataFrame, predictions: DataFrame) -> DataFrame:
     """(id, exact, parses, compiles, functional) of fixtures (id, kind, prompt, reference, suffix) and predictions (id, prediction). A fixture without a prediction fails the job.
 
-    `functional` is null here; run_trusted decides it, outside the executors.
+    `functional` is false where the fixture has `tests` and the source doesn't parse, else null: run_trusted decides it, outside the executors.
     """
     joined = fixtures.join(predictions.select("id", "prediction"), "id", "left")
     got = F.when(F.col("prediction").isNull(), F.raise_error(F.concat(F.lit("no prediction for "), F.col("id").cast("string")))).otherwise(F.col("prediction"))
     made = joined.withColumn("made", candidate(F.col("kind"), F.col("prompt"), got, F.col("suffix")))
     scored = made.withColumn("s", python_syntax("made"))
-    return scored.select("id", (F.col("prediction") == F.col("reference")).alias("exact"), "s.parses", "s.compiles", F.lit(None).cast("boolean").alias("functional"))
+    tested = (F.length("tests") > 0) if "tests" in fixtures.columns else F.lit(False)
+    functional = F.when(tested & ~F.col("s.parses"), F.lit(False))
+    return scored.select("id", (F.col("prediction") == F.col("reference")).alias("exact"), "s.parses", "s.compiles", functional.alias("functional"))
 
 
 def rates(scores: DataFrame) -> DataFrame:

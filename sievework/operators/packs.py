@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sievework import schema
@@ -43,17 +43,16 @@ def sequence_spans(ribbons: DataFrame, length: int) -> DataFrame:
 def shard_manifest(sequences: DataFrame, per_shard: int) -> DataFrame:
     """(split, shard, sequences, non_padding_tokens, first_index, end_index); the index counts through the split's shards."""
     shards = sequences.withColumn("shard", F.floor(F.col("seq_id") / per_shard)).groupBy("split", "shard").agg(F.count("*").alias("sequences"), F.sum("non_padding_tokens").alias("non_padding_tokens"))
-    # One row for each shard.
-    ends = F.sum("sequences").over(Window.partitionBy("split").orderBy("shard"))
-    return shards.withColumn("end_index", ends).withColumn("first_index", F.col("end_index") - F.col("sequences"))
+    # Shards are full but for a split's last, so a place follows from the number.
+    return shards.withColumn("first_index", F.col("shard") * per_shard).withColumn("end_index", F.col("first_index") + F.col("sequences"))
 
 
 def locate(indices: DataFrame, manifest: DataFrame) -> DataFrame:
     """(split, index, shard, row) of global indices; negative ones count from the end. An index outside is dropped."""
-    size = manifest.groupBy("split").agg(F.max("end_index").alias("size"))
+    size = manifest.groupBy("split").agg(F.max("end_index").alias("size"), F.max("sequences").alias("per_shard"))  # a row for each split
     at = indices.join(size, "split").withColumn("i", F.when(F.col("index") < 0, F.col("index") + F.col("size")).otherwise(F.col("index")))
-    hit = at.join(manifest.select("split", "shard", "first_index", "end_index"), "split").where((F.col("first_index") <= F.col("i")) & (F.col("i") < F.col("end_index")))
-    return hit.select("split", "index", "shard", (F.col("i") - F.col("first_index")).alias("row"))
+    hit = at.where((F.col("i") >= 0) & (F.col("i") < F.col("size")))
+    return hit.select("split", "index", F.floor(F.col("i") / F.col("per_shard")).alias("shard"), (F.col("i") % F.col("per_shard")).alias("row"))
 
 
 def loss_mask(length: int, non_padding: Column) -> Column:

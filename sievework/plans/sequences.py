@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from sievework import schema
 from sievework.operators import batches, chat, packs, tokens
 from sievework.plans.corpus import first_copies
+from sievework.sources import sinks, storage
 from sievework.plans.shared import FIRST, LIMIT, byte_values_sql, documents, table
 
 PER_SHARD, BATCH, CONTEXT = 64, 8, 700
@@ -45,21 +47,25 @@ def pack_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packs.sequence_spans(packs.ribbon(first_copies(spark, sf_dir)), LIMIT).withColumnRenamed("ord", "doc_id")
 
 
+def _shards(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Packed sequences written as shards and read back, checked against their manifest; and the manifest."""
+    path = f"{storage.shared_dir(spark)}/shards-{uuid.uuid4().hex}"
+    manifest = sinks.write_shards(_packed(spark, sf_dir, False), path, PER_SHARD)
+    return sinks.read_shards(spark, path, LIMIT), manifest
+
+
 def _sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(split, seq_id, non_padding_tokens) from the totals: no token needs to be made."""
-    total = packs.ribbon(first_copies(spark, sf_dir)).groupBy("split").agg(F.sum("n").alias("t"))
-    rows = total.select("split", "t", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("t") - 1) / LIMIT))).alias("seq_id"))
-    return rows.select("split", "seq_id", F.least(F.lit(LIMIT).cast("long"), F.col("t") - F.col("seq_id") * LIMIT).cast("int").alias("non_padding_tokens"))
+    """(split, seq_id, non_padding_tokens) of what was packed."""
+    return _shards(spark, sf_dir)[0].select("split", F.col("seq_id").cast("long").alias("seq_id"), F.col("non_padding_tokens").cast("int").alias("non_padding_tokens"))
 
 
 def shard_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packs.shard_manifest(_sequences(spark, sf_dir), PER_SHARD)
+    return _shards(spark, sf_dir)[1].drop("sha256")
 
 
 def shard_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every sequence's index, counted from the end, to shard and row."""
-    rows = _sequences(spark, sf_dir)
-    manifest = packs.shard_manifest(rows, PER_SHARD)
+    rows, manifest = _shards(spark, sf_dir)
     return packs.locate(rows.select("split", (-1 - F.col("seq_id")).alias("index")), manifest)
 
 
