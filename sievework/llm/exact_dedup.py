@@ -3,12 +3,13 @@
 A document's key is the 64-bit hash of its text. Keys are split into ranges of equal width, one owner each, so that
 one shuffle brings all copies together, in the order of the ids. The owner's directory doubles when a bucket
 of the greatest depth overflows; entries of one hash that no split can part form a chain, and a text is a copy only if
-its bytes equal those of an entry of the chain. Each owner leaves its directory, buckets and chains as a file in the
+its bytes equal those of an entry of the chain. Hashes that more rows have than an owner takes are spread over several tasks first, each of which
+does the same with its share; only what is no copy there goes on to the owner, so a text that a third of all rows hold is no task's burden. Each owner leaves its directory, buckets and chains as a file in the
 shared folder (written aside, then renamed, so a task that is run twice does no harm); `ExtendibleIndex.load` opens it.
 
 Defined results: of equal texts the one with the least id stays; a null id counts as the greatest. Of rows that
 repeat id and text one stays. A null text is no copy of anything and stays; empty texts are copies of one another. Case
-and white space matter. Other columns take no part and are returned as they are. An empty table gives an empty result.
+and white space matter. Texts of any length are compared whole. Ids are whole numbers. Other columns take no part and are returned as they are. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -19,11 +20,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sievework.llm import textvec
-from sievework.llm.shared import fresh, open_fs
+from sievework.llm.shared import fresh, open_fs, written
 
 
 def _spread(h: int) -> int:
@@ -111,74 +113,125 @@ class ExtendibleIndex:
         return index
 
 
-def _decide(batches: Iterator[pa.RecordBatch], uri: str, bucket_size: int) -> Iterator[tuple[pa.RecordBatch, list]]:
-    """For each batch, each row's entry as (keeper's id, is a copy). Rows come by owner, in the order of the ids."""
+def _decide(batches: Iterator[pa.RecordBatch], uri: str | None, bucket_size: int) -> Iterator[tuple[pa.RecordBatch, list, list[int]]]:
+    """For each batch, each row's (keeper's id, is a copy), and the number of the keeper's entry. Rows come by owner, in the order of the ids. Without a folder nothing is saved."""
     index, owner, bodies = ExtendibleIndex(bucket_size), None, []
     for batch in batches:
         data, offs = textvec.utf8(batch.column("__text"))
         owners, hashes, ids = (batch.column(c).to_pylist() for c in ("__owner", "__hash", "__id"))
-        found = []
+        found, entries = [], []
         for i, (own, h, key) in enumerate(zip(owners, hashes, ids)):
             if own != owner:
-                if owner is not None and owner >= 0:
+                if uri and owner is not None and owner >= 0:
                     index.save(uri, owner)
                 index, owner, bodies = ExtendibleIndex(bucket_size), own, []
             if own < 0:
                 found.append((key, False))
+                entries.append(-1)
                 continue
             h &= 0xFFFFFFFFFFFFFFFF
             body = data[offs[i] : offs[i + 1]].tobytes()
             keeper = next((e for e in index.chain(h) if bodies[e] == body), -1)
             if keeper < 0:
-                index.add(h, key)
+                entries.append(index.add(h, key))
                 bodies.append(body)
                 found.append((key, False))
             else:
+                entries.append(keeper)
                 found.append((index.keys[keeper], True))
-        yield batch, found
-    if owner is not None and owner >= 0:
+        yield batch, found, entries
+    if uri and owner is not None and owner >= 0:
         index.save(uri, owner)
 
 
-def _owned(docs: DataFrame, id_col: str, text_col: str, rows_per_owner: int, whole: bool) -> tuple[DataFrame, str]:
-    owners = max(1, -(-docs.count() // rows_per_owner))
-    h = F.xxhash64("__text")
+def _hashed(docs: DataFrame, id_col: str, text_col: str, whole: bool) -> DataFrame:
+    row = [F.struct("*").alias("__row")] if whole else []
+    packed = docs.select(*row, F.col(id_col).cast("long").alias("__id"), F.col(text_col).cast("string").alias("__text"))
+    return packed.withColumn("__hash", F.xxhash64("__text"))
+
+
+def _parted(rows: DataFrame, rows_per_owner: int) -> tuple[DataFrame, DataFrame | None]:
+    """The rows of all but hot hashes, and those of hot ones by the task (__owner) that sees them first; None where no hash is hot.
+
+    A hash is hot if more rows have it than an owner takes; so there is one hot hash for each `rows_per_owner` rows at most, 16 bytes each, and they are broadcast.
+    """
+    counts = rows.where("__text is not null").groupBy("__hash").agg(F.count("*").alias("__n"))
+    hot = written(counts.where(F.col("__n") > rows_per_owner), "exact-hot")
+    tasks = hot.agg(F.sum(F.ceil(F.col("__n") / rows_per_owner)).alias("n")).first()["n"]
+    if not tasks:
+        return rows, None
+    share = F.pmod(F.xxhash64("__id", F.spark_partition_id()), F.ceil(F.col("__n") / rows_per_owner))
+    mine = rows.join(F.broadcast(hot), "__hash").withColumn("__share", share)
+    mine = mine.withColumn("__owner", F.xxhash64("__hash", "__share").bitwiseAND(F.lit((1 << 63) - 1))).drop("__n", "__share")
+    spread = mine.repartition(int(tasks), "__owner").sortWithinPartitions("__owner", F.col("__id").asc_nulls_last())
+    return rows.join(F.broadcast(hot), "__hash", "left_anti"), spread
+
+
+def _owned(rows: DataFrame, owners: int) -> DataFrame:
+    """Rows by owner. Null texts need none; they spread by id. An owner is a partition."""
     # The top 31 bits, scaled to the number of owners: ranges of equal width.
-    owner = F.when(F.col("__text").isNull(), F.lit(-1)).otherwise(F.shiftrightunsigned(h, 33) * owners / F.lit(1 << 31)).cast("long")
-    row = F.struct("*") if whole else F.lit(None).cast("string")
-    packed = docs.select(row.alias("__row"), F.col(id_col).cast("long").alias("__id"), F.col(text_col).cast("string").alias("__text"))
-    # Null texts need no owner; they spread by id. An owner is a partition.
-    spread = packed.withColumns({"__hash": h, "__owner": owner})
-    place = F.when(F.col("__owner") < 0, F.pmod(F.xxhash64("__id"), F.lit(owners))).otherwise(F.col("__owner")).cast("int")
-    return spread.repartitionById(owners, place).sortWithinPartitions("__owner", F.col("__id").asc_nulls_last()), fresh(docs.sparkSession, "exact-index")
+    owner = F.when(F.col("__null"), F.lit(-1)).otherwise(F.shiftrightunsigned("__hash", 33) * owners / F.lit(1 << 31)).cast("long")
+    spread = rows.withColumn("__owner", owner).drop("__null")
+    place = F.when(F.col("__owner") < 0, F.pmod(F.xxhash64("__id", F.spark_partition_id()), F.lit(owners))).otherwise(F.col("__owner")).cast("int")
+    return spread.repartitionById(owners, place).sortWithinPartitions("__owner", F.col("__id").asc_nulls_last())
 
 
 def find_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", rows_per_owner: int = 20_000, bucket_size: int = 64) -> DataFrame:
     """(doc_id, keeper_id, is_copy) for each row of docs."""
-    owned, uri = _owned(docs, id_col, text_col, rows_per_owner, False)
+    owners, uri = max(1, -(-docs.count() // rows_per_owner)), fresh(docs.sparkSession, "exact-index")
+    cold, hot = _parted(_hashed(docs, id_col, text_col, False), rows_per_owner)
+    rows = cold.select("__id", "__text", "__hash", F.lit(None).cast("long").alias("__task"), F.lit(None).cast("long").alias("__entry"))
+    local = None
+    if hot is not None:
+
+        def share(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch, found, entries in _decide(batches, None, bucket_size):
+                text = pc.if_else(pa.array([c for _, c in found], pa.bool_()), None, batch.column("__text"))
+                yield pa.RecordBatch.from_arrays([batch.column("__id"), text, batch.column("__hash"), batch.column("__owner"), pa.array(entries, pa.int64())], names=["__id", "__text", "__hash", "__task", "__entry"])
+
+        local = written(hot.select("__id", "__text", "__hash", "__owner").mapInArrow(share, "__id long, __text string, __hash long, __task long, __entry long"), "exact-shares")
+        rows = rows.union(local.where("__text is not null"))
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, found in _decide(batches, uri, bucket_size):
+        for batch, found, _ in _decide(batches, uri, bucket_size):
             keeper = pa.array([k for k, _ in found], pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column("__id"), keeper, pa.array([c for _, c in found], pa.bool_())], names=["doc_id", "keeper_id", "is_copy"])
+            yield pa.RecordBatch.from_arrays([batch.column("__id"), keeper, pa.array([c for _, c in found], pa.bool_()), batch.column("__task"), batch.column("__entry")], names=["doc_id", "keeper_id", "is_copy", "__task", "__entry"])
 
-    return owned.drop("__row").mapInArrow(mark, "doc_id long, keeper_id long, is_copy boolean")
+    marked = _owned(rows.withColumn("__null", F.col("__text").isNull()), owners).mapInArrow(mark, "doc_id long, keeper_id long, is_copy boolean, __task long, __entry long")
+    if local is None:
+        return marked.drop("__task", "__entry")
+    marked = written(marked, "exact-marked")
+    told = marked.where("__task is not null").select("keeper_id", "__task", "__entry")
+    rest = local.where("__text is null").join(told, ["__task", "__entry"]).select(F.col("__id").alias("doc_id"), "keeper_id", F.lit(True).alias("is_copy"))
+    return marked.drop("__task", "__entry").union(rest)
 
 
 def drop_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", rows_per_owner: int = 20_000, bucket_size: int = 64) -> DataFrame:
     """docs without the copies, all columns kept."""
-    owned, uri = _owned(docs, id_col, text_col, rows_per_owner, True)
-    names = docs.columns
-    text_at = names.index(text_col)
+    owners, uri = max(1, -(-docs.count() // rows_per_owner)), fresh(docs.sparkSession, "exact-index")
+    names, text_at = docs.columns, docs.columns.index(text_col)
+    cold, hot = _parted(_hashed(docs, id_col, text_col, True), rows_per_owner)
 
-    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def kept(batches: Iterator[pa.RecordBatch], to: str | None) -> Iterator[pa.RecordBatch]:
         def opened() -> Iterator[pa.RecordBatch]:
             for b in batches:
                 row = b.column("__row")
                 yield pa.RecordBatch.from_arrays([row, b.column("__id"), row.field(text_at).cast(pa.string()), b.column("__hash"), b.column("__owner")], names=["__row", "__id", "__text", "__hash", "__owner"])
 
-        for batch, found in _decide(opened(), uri, bucket_size):
-            row = batch.column("__row").filter(pa.array([not c for _, c in found], pa.bool_()))
-            yield pa.RecordBatch.from_arrays(row.flatten(), names=names)
+        for batch, found, _ in _decide(opened(), to, bucket_size):
+            yield batch.filter(pa.array([not c for _, c in found], pa.bool_()))
+
+    def share(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in kept(batches, None):
+            yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("__row", "__id", "__hash")], names=["__row", "__id", "__hash"])
+
+    def last(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in kept(batches, uri):
+            yield pa.RecordBatch.from_arrays(batch.column("__row").flatten(), names=names)
 
-    return owned.drop("__text").mapInArrow(keep, docs.schema)
+    rows = cold.select("__row", "__id", "__hash", F.col("__text").isNull().alias("__null"))
+    if hot is not None:
+        fewer = hot.select("__row", "__id", "__hash", "__owner")
+        local = fewer.mapInArrow(share, fewer.select("__row", "__id", "__hash").schema).withColumn("__null", F.lit(False))
+        rows = rows.union(written(local, "exact-shares"))
+    return _owned(rows, owners).mapInArrow(last, docs.schema)

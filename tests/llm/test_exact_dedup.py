@@ -56,8 +56,8 @@ def test_one_hash_for_all_still_compares_bytes(spark, monkeypatch):
         [pa.array([0] * 5), pa.array([42] * 5), pa.array([1, 2, 3, 4, 5]), pa.array(["x", "y", "x", "z", "y"])], names=["__owner", "__hash", "__id", "__text"]
     )
     monkeypatch.setattr(ExtendibleIndex, "save", lambda *a: None)
-    (_, found), = exact_dedup._decide(iter([batch]), "", 2)
-    assert found == [(1, False), (2, False), (1, True), (4, False), (2, True)]
+    (_, found, entries), = exact_dedup._decide(iter([batch]), "", 2)
+    assert entries == [0, 1, 0, 2, 1] and found == [(1, False), (2, False), (1, True), (4, False), (2, True)]
 
 
 def test_drop_keeps_rows_and_clashing_columns(spark):
@@ -68,3 +68,23 @@ def test_drop_keeps_rows_and_clashing_columns(spark):
     assert exact_dedup.drop_copies(docs).schema == docs.schema
     empty = docs.limit(0)
     assert exact_dedup.drop_copies(empty).count() == 0 and exact_dedup.find_copies(empty).count() == 0
+
+
+@pytest.mark.parametrize("owners", [3, 10_000])
+def test_a_hot_text_keeps_one_row(spark, owners):
+    """Two thirds of the rows are two texts, some without an id; spread over tasks or not, the same rows stay."""
+    rng = random.Random(owners)
+    rows = [(rng.choice([None, rng.randrange(500)]), rng.choice(["hot", "hot too", f"own {i}"]), i) for i in range(200)] + [(None, None, 1), (None, None, 2)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, __n int").repartition(6)
+    kept = exact_dedup.drop_copies(docs, rows_per_owner=owners)
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=str) == sorted(((k, t) for (k, t), mark in zip([r[:2] for r in sorted(rows, key=lambda r: (r[0] is None, r[0] or 0))], _first(rows)) if mark), key=str)
+    assert sorted(map(tuple, exact_dedup.find_copies(docs, rows_per_owner=owners).collect()), key=str) == brute([r[:2] for r in rows])
+
+
+def _first(rows):
+    """Of the rows in the order of ids, whether each is the first of its text."""
+    seen, out = set(), []
+    for _, text, _ in sorted(rows, key=lambda r: (r[0] is None, r[0] or 0)):
+        out.append(text is None or text not in seen)
+        seen.add(text)
+    return out
