@@ -299,6 +299,53 @@ def _star_pairs(text: DataFrame) -> DataFrame:
     return offered.distinct()
 
 
+def within(a: str, b: str, edits: int) -> bool:
+    """Whether two lines are within the bound, by the furthest place of each diagonal for each number of edits; runs of equal characters are compared as slices."""
+    n, m = len(a), len(b)
+    if abs(n - m) > edits:
+        return False
+
+    def slide(i: int, j: int) -> int:
+        size, most = 16, min(n - i, m - j)
+        done = 0
+        while done < most and size:
+            step = min(size, most - done)
+            if a[i + done : i + done + step] == b[j + done : j + done + step]:
+                done += step
+                size *= 2
+            elif step == 1:
+                break
+            else:
+                size = step // 2
+        return i + done
+
+    reach = {0: slide(0, 0)}
+    if n == m == reach[0]:
+        return True
+    for _ in range(edits):
+        ahead = {}
+        for d in range(min(reach) - 1, max(reach) + 2):
+            i = max(reach.get(d, -2) + 1, reach.get(d - 1, -1), reach.get(d + 1, -2) + 1)
+            i = min(i, n, m - d)
+            if i >= 0 and i + d >= 0:
+                ahead[d] = slide(i, i + d)
+        if ahead.get(m - n) == n:
+            return True
+        reach = ahead
+    return False
+
+
+def _verified(edits: int):
+    """Of pairs with the texts of both, (h, g, other) of those within the bound. Spark's levenshtein is quadratic in the length of a line."""
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            stay = [within(a.as_py(), b.as_py(), edits) for a, b in zip(batch.column("line"), batch.column("other_line"))]
+            yield batch.filter(pa.array(stay, pa.bool_())).select(["h", "g", "other"])
+
+    return scan
+
+
 def _segment_pairs(text: DataFrame, edits: int) -> DataFrame:
     """(place, other): lines and all earlier ones that share a segment, and whose sketches allow the bound."""
     bit = T.StructType([text.schema["place"], T.StructField("key", T.LongType()), T.StructField("own", T.BooleanType()), T.StructField("one", T.LongType()), T.StructField("two", T.LongType())])
@@ -332,7 +379,8 @@ def find_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     text = written(text, "line-left")
     pairs = _star_pairs(text) if edits == 1 else _segment_pairs(text, edits)
     theirs = text.select(F.col("place").alias("other"), F.col("line").alias("other_line"))
-    close = pairs.join(text.select("h", "g", "place", "line"), "place").join(theirs, "other").where(F.levenshtein("line", "other_line", edits) >= 0)
+    both = pairs.join(text.select("h", "g", "place", "line"), "place").join(theirs, "other").select("h", "g", "other", "line", "other_line")
+    close = both.mapInArrow(_verified(edits), both.select("h", "g", "other").schema)
     close = close.groupBy("h", "g").agg(F.min("other").alias("other"))
     nearer = F.coalesce(F.col("other") < F.col("place"), F.lit(False))
     fate = distinct.select("h", "g", "place", "row").join(close, ["h", "g"], "left")

@@ -109,3 +109,16 @@ def test_short_lines_take_part_in_the_exact_collapse(spark, edits):
     got = {tuple(r[:2]): tuple(r[2:]) for r in line_dedup.find_lines(docs, edits=edits, exact_chars=1).collect()}
     dropped = {(2, 0): (1, 0, False), (2, 3): (1, 0, False), (2, 2): (1, 3, False), (3, 0): (1, 2, False), (3, 2): (3, 1, False)}
     assert len(got) == 11 and got == {p: dropped.get(p, (*p, True)) for p in got}
+
+
+def test_within_is_the_distance():
+    rng = random.Random(11)
+    for _ in range(4000):
+        a = "".join(rng.choice("ab") for _ in range(rng.randrange(24)))
+        b = a
+        for _ in range(rng.randrange(5)):
+            b = edited(rng, b) if b else b
+        if rng.random() < 0.2:
+            b = "".join(rng.choice("abé") for _ in range(rng.randrange(24)))
+        for edits in (1, 2, 3):
+            assert line_dedup.within(a, b, edits) == (distance(a, b) <= edits), (a, b, edits)
