@@ -1,9 +1,10 @@
 """Exact dedup by an extendible-hash index: owner tasks take ranges of the hash, chain collisions and compare bytes.
 
-A document's key is the 64-bit hash of its text. Keys are split into ranges of equal width, one owner each, so that
+A document's key is the 64-bit hash of its text. Keys are split into ranges of equal width, one owner each for `rows_per_owner` rows
+or `bytes_per_owner` bytes of text, whichever makes more, so that
 one shuffle brings all copies together, in the order of the ids. The owner's directory doubles when a bucket
 of the greatest depth overflows; entries of one hash that no split can part form a chain, and a text is a copy only if
-its bytes equal those of an entry of the chain. Hashes that more rows have than an owner takes are spread over several tasks first, each of which
+its bytes equal those of an entry of the chain. Hashes that more rows, or bytes, have than an owner takes are spread over several tasks first, each of which
 does the same with its share; only what is no copy there goes on to the owner, so a text that a third of all rows hold is no task's burden. Each owner leaves its directory, buckets and chains as a file in the
 shared folder (written aside, then renamed, so a task that is run twice does no harm); `ExtendibleIndex.load` opens it.
 
@@ -150,17 +151,25 @@ def _hashed(docs: DataFrame, id_col: str, text_col: str, whole: bool) -> DataFra
     return packed.withColumn("__hash", F.xxhash64("__text"))
 
 
-def _parted(rows: DataFrame, rows_per_owner: int) -> tuple[DataFrame, DataFrame | None]:
+def _owners(docs: DataFrame, text_col: str, rows_per_owner: int, bytes_per_owner: int) -> int:
+    """How many owners the rows and their texts need."""
+    size = docs.agg(F.count("*").alias("rows"), F.sum(F.octet_length(F.col(text_col).cast("string"))).alias("bytes")).first()
+    return max(1, -(-size["rows"] // rows_per_owner), -(-(size["bytes"] or 0) // bytes_per_owner))
+
+
+def _parted(rows: DataFrame, rows_per_owner: int, bytes_per_owner: int) -> tuple[DataFrame, DataFrame | None]:
     """The rows of all but hot hashes, and those of hot ones by the task (__owner) that sees them first; None where no hash is hot.
 
-    A hash is hot if more rows have it than an owner takes; so there is one hot hash for each `rows_per_owner` rows at most, 16 bytes each, and they are broadcast.
+    A hash is hot if several rows have it and more of them, or of their bytes, than an owner takes; so there is one hot hash for each `rows_per_owner` rows
+    and one for each `bytes_per_owner` bytes at most, 16 bytes each, and they are broadcast.
     """
-    counts = rows.where("__text is not null").groupBy("__hash").agg(F.count("*").alias("__n"))
-    hot = written(counts.where(F.col("__n") > rows_per_owner), "exact-hot")
-    tasks = hot.agg(F.sum(F.ceil(F.col("__n") / rows_per_owner)).alias("n")).first()["n"]
+    counts = rows.where("__text is not null").groupBy("__hash").agg(F.count("*").alias("rows"), F.sum(F.octet_length("__text")).alias("bytes"))
+    need = F.least("rows", F.greatest(F.ceil(F.col("rows") / rows_per_owner), F.ceil(F.col("bytes") / bytes_per_owner)))
+    hot = written(counts.select("__hash", need.alias("__n")).where("__n > 1"), "exact-hot")
+    tasks = hot.agg(F.sum("__n").alias("n")).first()["n"]
     if not tasks:
         return rows, None
-    share = F.pmod(F.xxhash64("__id", F.spark_partition_id()), F.ceil(F.col("__n") / rows_per_owner))
+    share = F.pmod(F.xxhash64("__id", F.spark_partition_id()), F.col("__n"))
     mine = rows.join(F.broadcast(hot), "__hash").withColumn("__share", share)
     mine = mine.withColumn("__owner", F.xxhash64("__hash", "__share").bitwiseAND(F.lit((1 << 63) - 1))).drop("__n", "__share")
     spread = mine.repartition(int(tasks), "__owner").sortWithinPartitions("__owner", F.col("__id").asc_nulls_last())
@@ -176,10 +185,10 @@ def _owned(rows: DataFrame, owners: int) -> DataFrame:
     return spread.repartitionById(owners, place).sortWithinPartitions("__owner", F.col("__id").asc_nulls_last())
 
 
-def find_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", rows_per_owner: int = 20_000, bucket_size: int = 64) -> DataFrame:
+def find_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", rows_per_owner: int = 20_000, bytes_per_owner: int = 64 << 20, bucket_size: int = 64) -> DataFrame:
     """(doc_id, keeper_id, is_copy) for each row of docs."""
-    owners, uri = max(1, -(-docs.count() // rows_per_owner)), fresh(docs.sparkSession, "exact-index")
-    cold, hot = _parted(_hashed(docs, id_col, text_col, False), rows_per_owner)
+    owners, uri = _owners(docs, text_col, rows_per_owner, bytes_per_owner), fresh(docs.sparkSession, "exact-index")
+    cold, hot = _parted(_hashed(docs, id_col, text_col, False), rows_per_owner, bytes_per_owner)
     rows = cold.select("__id", "__text", "__hash", F.lit(None).cast("long").alias("__task"), F.lit(None).cast("long").alias("__entry"))
     local = None
     if hot is not None:
@@ -206,11 +215,11 @@ def find_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     return marked.drop("__task", "__entry").union(rest)
 
 
-def drop_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", rows_per_owner: int = 20_000, bucket_size: int = 64) -> DataFrame:
+def drop_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", rows_per_owner: int = 20_000, bytes_per_owner: int = 64 << 20, bucket_size: int = 64) -> DataFrame:
     """docs without the copies, all columns kept."""
-    owners, uri = max(1, -(-docs.count() // rows_per_owner)), fresh(docs.sparkSession, "exact-index")
+    owners, uri = _owners(docs, text_col, rows_per_owner, bytes_per_owner), fresh(docs.sparkSession, "exact-index")
     names, text_at = docs.columns, docs.columns.index(text_col)
-    cold, hot = _parted(_hashed(docs, id_col, text_col, True), rows_per_owner)
+    cold, hot = _parted(_hashed(docs, id_col, text_col, True), rows_per_owner, bytes_per_owner)
 
     def kept(batches: Iterator[pa.RecordBatch], to: str | None) -> Iterator[pa.RecordBatch]:
         def opened() -> Iterator[pa.RecordBatch]:

@@ -88,3 +88,15 @@ def _first(rows):
         out.append(text is None or text not in seen)
         seen.add(text)
     return out
+
+
+def test_owners_are_bounded_by_bytes_too(spark):
+    """Few long texts, one of them hot by its bytes alone, go to several owners; the same rows stay."""
+    rng = random.Random(12)
+    rows = [(i, rng.choice(["hot " * 50, f"own {i} " * 30, "é" * 40, None])) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    kept, found = exact_dedup.drop_copies(docs, bytes_per_owner=1000), exact_dedup.find_copies(docs, bytes_per_owner=1000)
+    size = sum(len(t.encode()) for _, t in rows if t)
+    assert kept.rdd.getNumPartitions() == -(-size // 1000) and exact_dedup._parted(exact_dedup._hashed(docs, "doc_id", "text", False), 20_000, 1000)[1] is not None
+    assert sorted(map(tuple, kept.collect()), key=str) == sorted((r for r, first in zip(rows, _first([(*r, 0) for r in rows])) if first), key=str)
+    assert sorted(map(tuple, found.collect()), key=str) == brute(rows)

@@ -175,3 +175,46 @@ def test_rules_are_their_parts_put_together(spark):
         p = 1 / (1 + math.exp(-(slope * total + offset)))
         assert got[key].score == pytest.approx(p, rel=1e-6) and got[key].keep == (p >= quality_rules.THRESHOLD)
     assert all(got[i].keep == bool(i % 2) for i in range(160))
+
+
+def test_long_texts_take_part_whole():
+    rng = random.Random(5)
+    raw = "".join(rng.choice(["word", "é", "X", " ", "\n", "a ", "- "]) for _ in range(3000)).encode()
+    data = np.frombuffer(raw, np.uint8)
+    want = [np.sort(place) for place, _ in quality_rules.grams(data, np.array([0, len(data)]))]
+    for limit in (1, 7, 1000, len(raw)):
+        got = {kind: [] for kind in (1, 2, 3, 4)}
+        for kind, place in quality_rules.long_grams(data, limit):
+            got[kind].append(place)
+        for kind in got:
+            np.testing.assert_array_equal(np.sort(np.concatenate(got[kind])), want[kind - 1])
+
+
+def test_vectors_and_scores_of_a_long_text(monkeypatch):
+    rng = np.random.default_rng(6)
+    raw = rng.choice(np.frombuffer(b"abcdefghijkl  .", np.uint8), 5000)
+    offs, weights = np.array([0, 40, 5000]), rng.normal(size=quality_rules.SPACE).astype(np.float32)
+    whole, vector = quality_rules.raw_scores(raw, offs, weights), quality_rules._vector(raw)
+    monkeypatch.setattr(quality_rules, "LONG", 1000)
+    np.testing.assert_allclose(quality_rules.raw_scores(raw, offs, weights), whole, rtol=1e-6)
+    parts = quality_rules._vector(raw)
+    np.testing.assert_allclose(np.bincount(*parts, quality_rules.SPACE), np.bincount(*vector, quality_rules.SPACE), rtol=1e-6)
+
+
+def test_fit_of_long_varied_texts_does_not_pass_through_the_driver(spark):
+    """Vectors beyond the limit of the driver's results, as full rows and as places, give the model of fit in memory."""
+    rng = random.Random(9)
+    rows = [(i, "".join(rng.choices("abcdefghijklmnopqrstuvwxyz   " if i % 2 else "ABCDEFGHIJKLMNOPQRSTUVWXYZ!!  ", k=30_000 if i % 4 else 3_000))) for i in range(40)] + [(40, ""), (41, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(42)], "doc_id long, quality int, toxic int")
+    conf = spark.sparkContext._jsc.sc().conf()
+    before = conf.get("spark.driver.maxResultSize", "1g")
+    conf.set("spark.driver.maxResultSize", "2m")
+    try:
+        held, read = (quality_rules.train(docs, labels, in_memory=n) for n in (1 << 40, 0))
+    finally:
+        conf.set("spark.driver.maxResultSize", before)
+    np.testing.assert_allclose(read[0], held[0], atol=1e-3)
+    np.testing.assert_allclose(read[1], held[1], rtol=1e-3)
+    got = {r.row.doc_id: r for r in quality_rules.apply_rules(docs, read).collect()}
+    assert all(got[i].keep == bool(i % 2) for i in range(40))
