@@ -30,6 +30,13 @@ def first_copies(documents: DataFrame, *, order: str = "ord", text: str = "text"
     return sound.join(first, ["content_hash", order], "left_semi")
 
 
+def first_keys(documents: DataFrame, *, order: str = "ord", text: str = "text", bounds: Bounds = Bounds(), **measures: Column) -> DataFrame:
+    """(order, content_hash, measures) of first_copies, without moving a text: measures are expressions over a document."""
+    sound = documents.where(structural_reason(F.col(text), bounds).isNull() & F.col(text).isNotNull() & F.col(order).isNotNull())
+    slim = sound.select(t.content_hash(F.col(text)).alias("content_hash"), F.struct(order, *(m.alias(n) for n, m in measures.items())).alias("x"))
+    return slim.groupBy("content_hash").agg(F.min("x").alias("x")).select("x.*", "content_hash")
+
+
 def signatures(documents: DataFrame, *, order: str = "ord", text: str = "text", hashing: str = "blake2b") -> DataFrame:
     """(order, norm_hash, signature)."""
     return documents.select(order, *_signed(text, hashing))

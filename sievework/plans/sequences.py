@@ -9,8 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sievework import schema
-from sievework.operators import batches, chat, packs, tokens
-from sievework.plans.corpus import first_copies
+from sievework.operators import batches, chat, dedup, packs, splits, tokens
 from sievework.sources import sinks, storage
 from sievework.plans.shared import FIRST, LIMIT, byte_values_sql, documents, table
 
@@ -31,8 +30,14 @@ def byte_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", (tokens.byte_text("ids") == F.col("text")).alias("same"))
 
 
-def _packed(spark: SparkSession, sf_dir: str, drop_remainder: bool) -> DataFrame:
-    return packs.pack(first_copies(spark, sf_dir), LIMIT, drop_remainder=drop_remainder)
+def _ribbons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ribbons of the sound first copies; texts stay where they are."""
+    kept = dedup.first_keys(documents(spark, sf_dir), n=(tokens.byte_count(F.col("text")) + 1).cast("long"))
+    return packs.placed(splits.split_documents(kept, 0.1).select("split", "ord", "n"))
+
+
+def _packed(spark: SparkSession, sf_dir: str, drop_remainder: bool, together: int = 1) -> DataFrame:
+    return packs.pack(documents(spark, sf_dir), LIMIT, drop_remainder=drop_remainder, ribbons=_ribbons(spark, sf_dir), together=together)
 
 
 def pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -44,13 +49,13 @@ def pack_remainder(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pack_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packs.sequence_spans(packs.ribbon(first_copies(spark, sf_dir)), LIMIT).withColumnRenamed("ord", "doc_id")
+    return packs.sequence_spans(_ribbons(spark, sf_dir), LIMIT).withColumnRenamed("ord", "doc_id")
 
 
 def _shards(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Packed sequences written as shards and read back, checked against their manifest; and the manifest."""
     path = f"{storage.shared_dir(spark)}/shards-{uuid.uuid4().hex}"
-    manifest = sinks.write_shards(_packed(spark, sf_dir, False), path, PER_SHARD)
+    manifest = sinks.write_shards(_packed(spark, sf_dir, False, PER_SHARD), path, PER_SHARD, grouped=True)
     return sinks.read_shards(spark, path, LIMIT), manifest
 
 

@@ -8,9 +8,10 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sievework import schema
-from sievework.operators.packs import shard_manifest
+from sievework.operators.packs import placed_shards
 from sievework.sources.storage import require_fresh
 
 
@@ -39,33 +40,56 @@ def admission_report(judged: DataFrame) -> dict:
     return {"pipeline": schema.PACK_VERSION, "near_dedup": schema.NEAR_VERSION, "seen": seen, "admitted": seen - sum(reasons.values()), "reasons": reasons}
 
 
-def write_shards(sequences: DataFrame, path: str, per_shard: int = 1024) -> DataFrame:
-    """Sequences (split, seq_id, token_ids, non_padding_tokens) as Parquet by split and shard, and their manifest, written last, with a hash of each shard's content."""
+#: The rows of shards. They hold split and shard themselves, for a folder for each shard would be as many folders as shards.
+_ROWS = "split string, shard long, seq_id long, token_ids array<int>, non_padding_tokens int"
+_MANIFEST = "split string, shard long, sequences long, non_padding_tokens long, first_index long, end_index long, sha256 string"
+
+
+def write_shards(sequences: DataFrame, path: str, per_shard: int = 1024, grouped: bool = False) -> DataFrame:
+    """Sequences (split, seq_id, token_ids, non_padding_tokens) as Parquet, and their manifest, written last, with a hash of each shard's content.
+
+    A shard is a run of rows in one file, which holds many: files are as many as tasks, not as shards. grouped: the sequences come
+    as pack(together=per_shard) gives them, a shard's in one partition and in order.
+    """
     spark = sequences.sparkSession
     require_fresh(spark, path)
-    placed = sequences.withColumn("shard", F.floor(F.col("seq_id") / per_shard).cast("long"))
-    placed.repartition("split", "shard").sortWithinPartitions("split", "shard", "seq_id").write.partitionBy("split", "shard").parquet(f"{path}/tokens")
-    back = spark.read.parquet(f"{path}/tokens")
-    manifest = shard_manifest(back, per_shard).join(content_hashes(back), ["split", "shard"])
-    manifest.coalesce(1).write.json(f"{path}/manifest")
-    return spark.read.schema(manifest.schema).json(f"{path}/manifest")
+    placed = sequences.withColumn("shard", F.floor(F.col("seq_id") / per_shard)).to(_parse(_ROWS))
+    if not grouped:
+        placed = placed.repartition("split", "shard").sortWithinPartitions("split", "shard", "seq_id")
+    placed.write.parquet(f"{path}/tokens")
+    manifest = placed_shards(shard_contents(_rows(spark, path)), per_shard)
+    manifest.select(*_parse(_MANIFEST).names).write.json(f"{path}/manifest")
+    return spark.read.schema(_MANIFEST).json(f"{path}/manifest")
+
+
+def _parse(fields: str) -> T.StructType:
+    return T.StructType.fromDDL(fields)
+
+
+def _rows(spark: SparkSession, path: str) -> DataFrame:
+    """What lies in the files, wherever below the folder; a row of a file that shards don't have has no split."""
+    return spark.read.schema(_ROWS).option("recursiveFileLookup", "true").parquet(f"{path}/tokens")
 
 
-def content_hashes(sequences: DataFrame) -> DataFrame:
-    """(split, shard, sha256): the hash of the rows' hashes, in order."""
+def shard_contents(sequences: DataFrame) -> DataFrame:
+    """(split, shard, sequences, non_padding_tokens, shortest, longest, sha256) in one pass: counts, the sequences' lengths, and the hash of the rows' hashes, in order."""
     row = F.sha2(F.concat_ws(":", F.col("seq_id").cast("string"), F.col("non_padding_tokens").cast("string"), F.array_join("token_ids", ",")), 256)
-    rows = sequences.select("split", "shard", F.struct("seq_id", row.alias("h")).alias("x")).groupBy("split", "shard").agg(F.array_sort(F.collect_list("x")).alias("x"))
-    return rows.select("split", F.col("shard").cast("long").alias("shard"), F.sha2(F.array_join(F.transform("x", lambda r: r["h"]), ""), 256).alias("sha256"))
+    rows = sequences.select("split", "shard", "non_padding_tokens", F.size("token_ids").alias("length"), F.struct("seq_id", row.alias("h")).alias("x"))
+    counts = F.count("*").alias("sequences"), F.sum("non_padding_tokens").alias("non_padding_tokens"), F.min("length").alias("shortest"), F.max("length").alias("longest")
+    whole = rows.groupBy("split", "shard").agg(*counts, F.array_sort(F.collect_list("x")).alias("x"))
+    return whole.withColumn("sha256", F.sha2(F.array_join(F.transform("x", lambda r: r["h"]), ""), 256)).drop("x")
 
 
 def read_shards(spark: SparkSession, path: str, length: int | None = None) -> DataFrame:
     """The sequences of write_shards; fails where content, counts or lengths don't agree with the manifest."""
-    rows = spark.read.parquet(f"{path}/tokens")
-    manifest = spark.read.json(f"{path}/manifest").select("split", "shard", F.col("sha256").alias("expected"))
-    broken = content_hashes(rows).join(manifest, ["split", "shard"], "full").where(~F.col("sha256").eqNullSafe(F.col("expected")))
-    if not broken.isEmpty():
+    rows = _rows(spark, path)
+    manifest = spark.read.schema(_MANIFEST).json(f"{path}/manifest").select("split", "shard", F.col("sha256").alias("expected"))
+    both = shard_contents(rows).join(manifest, ["split", "shard"], "full")
+    other = F.lit(False) if length is None else (F.col("shortest") != length) | (F.col("longest") != length)
+    found = both.agg(F.bool_or(~F.col("sha256").eqNullSafe(F.col("expected"))).alias("broken"), F.bool_or(other).alias("other")).first()
+    if found["broken"]:
         raise ValueError("shards differ from their manifest")
-    if length is not None and not rows.where(F.size("token_ids") != length).isEmpty():
+    if found["other"]:
         raise ValueError("a sequence has another length")
     return rows
 
