@@ -11,12 +11,13 @@ import hashlib
 import re
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sievework.functions import text as t
+from sievework.functions.arrow import joined, slices
 
 BITS = 64
 _TOKEN = re.compile(t.WORD)
@@ -40,14 +41,21 @@ def simhash_of(text: str) -> int:
     return _vote([hashlib.blake2b(g.encode(), digest_size=8).digest() for g in _grams(_TOKEN.findall(" ".join(text.casefold().split())))])
 
 
-@F.pandas_udf(T.LongType())
-def simhash_blake2b(text: pd.Series) -> pd.Series:
-    return pd.Series([None if x is None else simhash_of(x) for x in text], dtype="Int64")
+# The UDFs take a batch of Spark by pieces, so Python never holds the words of all its texts.
 
 
-@F.pandas_udf(T.LongType())
-def _simhash_words(words: pd.Series) -> pd.Series:
-    return pd.Series([None if x is None else _vote([hashlib.sha256(g.encode()).digest()[:8] for g in _grams(list(x))]) for x in words], dtype="Int64")
+@F.arrow_udf(T.LongType())
+def simhash_blake2b(text: pa.Array) -> pa.Array:
+    return joined([pa.array([None if x is None else simhash_of(x) for x in part.to_pylist()], pa.int64()) for part in slices(text)], pa.int64())
+
+
+def _signature_of(words: list[str]) -> int:
+    return _vote([hashlib.sha256(g.encode()).digest()[:8] for g in _grams(words)])
+
+
+@F.arrow_udf(T.LongType())
+def _simhash_words(words: pa.Array) -> pa.Array:
+    return joined([pa.array([None if x is None else _signature_of(x) for x in part.to_pylist()], pa.int64()) for part in slices(words)], pa.int64())
 
 
 def simhash_words(text: str) -> Column:

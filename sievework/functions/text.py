@@ -8,10 +8,13 @@ from __future__ import annotations
 import re
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from sievework.functions.arrow import joined, slices
+
 SPACES = [(0x09, 0x0D), (0x1C, 0x20), (0x85, 0x85), (0xA0, 0xA0), (0x1680, 0x1680), (0x2000, 0x200A), (0x2028, 0x2029), (0x202F, 0x202F), (0x205F, 0x205F), (0x3000, 0x3000)]
 BREAKS = [(0x0A, 0x0D), (0x1C, 0x1E), (0x85, 0x85), (0x2028, 0x2029)]
 
@@ -32,9 +35,9 @@ def content_hash(text: Column) -> Column:
     return F.sha2(text, 256)
 
 
-@F.pandas_udf(T.StringType())
-def _casefold(text: pd.Series) -> pd.Series:
-    return text.str.casefold()
+@F.arrow_udf(T.StringType())
+def _casefold(text: pa.Array) -> pa.Array:
+    return joined([pa.array([None if x is None else x.casefold() for x in part.to_pylist()], pa.string()) for part in slices(text)], pa.string())
 
 
 def normalized(text: Column, casefold: str = "sql") -> Column:

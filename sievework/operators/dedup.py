@@ -72,6 +72,7 @@ def near_signatures(signature: DataFrame, distance: int, bands: int = BANDS, aga
 
 def evaluation_overlap(signed: DataFrame, evaluation: DataFrame, distance: int) -> DataFrame:
     """signed with eval_exact and eval_near: whether an evaluation row has its norm_hash, or a signature within the distance (without banding's losses)."""
+    signed = written(signed, "overlap-signed")  # the signatures are a UDF's, and used twice
     exact = evaluation.select("norm_hash").distinct().withColumn("eval_exact", F.lit(True))
     near = near_signatures(signed, distance, distance + 1, evaluation).select(F.col("a").alias("signature")).distinct().withColumn("eval_near", F.lit(True))
     no = F.lit(False)
